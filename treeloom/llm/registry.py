@@ -1,10 +1,15 @@
 """Queries of the corpus operators, by name; and their SQL, where SQL can express them."""
 
-from treeloom.llm import quality
+from treeloom.llm import langid, packing, quality, secrets
 
 
 def queries() -> dict:
-    return {"op8_quality_rules": quality.op8_quality_rules}
+    return {
+        "op1_packing": packing.op1_packing,
+        "op4_language_id": langid.op4_language_id,
+        "op7_secret_scans": secrets.op7_secret_scans,
+        "op8_quality_rules": quality.op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:

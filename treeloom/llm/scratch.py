@@ -67,6 +67,7 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def arrow_rows(spark: SparkSession, per_batch: int) -> None:
-    """Bound the rows of an Arrow batch, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(per_batch))
+def bounded_batches(spark: SparkSession, rows: int = 2048, megabytes: int = 16) -> None:
+    """Bound Arrow batches by rows and bytes: texts are of any length, workers are small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
