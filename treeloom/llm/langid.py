@@ -141,7 +141,7 @@ def sample_places(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, np
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``score``."""
-    scratch.bounded_batches(docs.sparkSession, rows=1024)
+    scratch.bounded_batches(docs.sparkSession)
     kind = "struct<lang_pred:string,score:double>"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x COLUMNS numbers at most
 
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
-    scratch.bounded_batches(spark, rows=1024)
+    scratch.bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(sample_places(docs))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -67,14 +67,15 @@ def _cut(path: str, capacity: int):
 
     def run(batches):
         tok = tokens.tokenizer(path)
+        narrow = tok.narrow
         for batch in batches:
             groups, docs = batch.column(0), batch.column(1)
-            rows: list[list] = [[], [], [], [], [], []]
-            for i, ids in enumerate(tok.ids(tokens.raw_bytes(batch.column(2)))):
+            rows: list[list] = [[], [], [], [], []]
+            for i, ids in enumerate(tok.ids(batch.column(2))):
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(rows, (i, start, len(piece) // 4, total, piece), strict=False):
+                    for column, value in zip(rows, (i, start, len(piece) // 4, total, np.frombuffer(piece, "<u4").astype("<u2").tobytes() if narrow else piece), strict=True):
                         column.append(value)
             at = pa.array(rows[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -90,8 +91,9 @@ def _pack_group(capacity: int):
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending")])
         placed = first_fit_decreasing(table["length"].to_pylist(), capacity)
         bins = np.array([b for b, _ in placed], np.int64) + (key[0].as_py() << 32)
+        wide = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in zip(table["ids"].to_pylist(), table["length"].to_pylist(), strict=True)]
         return pa.table({
-            "doc_id": table["doc_id"], "start": table["start"], "length": table["length"], "ids": table["ids"], "doc_tokens": table["doc_tokens"],
+            "doc_id": table["doc_id"], "start": table["start"], "length": table["length"], "ids": pa.array(wide, pa.binary()), "doc_tokens": table["doc_tokens"],
             "sequence_id": pa.array(bins), "offset": pa.array([o for _, o in placed], pa.int64()),
         })
 

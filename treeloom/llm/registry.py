@@ -1,14 +1,16 @@
 """Queries of the corpus operators, by name; and their SQL, where SQL can express them."""
 
-from treeloom.llm import langid, packing, quality, secrets
+from treeloom.llm import embeddings, langid, packing, pii, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op4_language_id": langid.op4_language_id,
+        "op6_embedding_neardup": embeddings.op6_embedding_neardup,
         "op7_secret_scans": secrets.op7_secret_scans,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op10_pii": pii.op10_pii,
     }
 
 

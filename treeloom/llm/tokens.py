@@ -14,13 +14,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Ends every document.
 END_ID = 1
 #: Chunks kept by a worker, and the longest that is kept (bytes).
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 200_000
 CACHE_LONGEST = 48
 
+#: Letters below this code point are single, composed and lower-cased one by one.
+PLAIN_BELOW = "\u0250"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The usual printable stand-ins of byte-level vocabularies: printable bytes stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + n for n, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -34,49 +48,84 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        alone = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        self.mark = alone[0] if len(alone) == 1 else None
+        #: Whether every id fits in 16 bits.
+        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.folds_case = self.tokenizer.encode("Aa", add_special_tokens=False).ids == self.tokenizer.encode("aa", add_special_tokens=False).ids
+        self.model, self.marks = self.tokenizer.model, {}
+        probes = ["the", "été", "straße", "ñandú", "zzqxv", "łódź"]
+        self.direct = self.folds_case and [self._word(w) for w in probes] == self._general(probes)
         # Two generations: chunks met again move to the young one, the old one is dropped when that is full.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.end = np.array([END_ID], "<u4").tobytes()
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        """One call for many chunks, told apart by a control character that is one id of its own."""
-        mark = b"\x01"
-        if self.mark is not None and len(chunks) > 1:
-            joined = b" \x01 ".join(chunks)
-            if joined.count(mark) == len(chunks) - 1:
-                ids = np.array(self.tokenizer.encode_batch_fast([joined.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.flatnonzero(ids == self.mark)
-                if len(cuts) == len(chunks) - 1:
-                    raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                    return [raw[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], ends, strict=True)]
-        encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+    def _general(self, chunks: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def _learn(self, chunks: set[bytes]) -> None:
+    def _word(self, letters: str) -> bytes:
+        """The ids of a run of letters, straight from the merges."""
+        spelled = letters.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Plain words skip the tokenizer's own splitting; a closing full stop or comma is a piece."""
+        out, others = [b""] * len(chunks), []
+        for k, c in enumerate(chunks):
+            text = c.decode("utf-8", "replace")
+            body = text.rstrip(".,")
+            if self.direct and body.isalpha() and max(body) < PLAIN_BELOW and "\u0130" not in body:
+                ids = self._word(body)
+                if len(body) < len(text):
+                    mark = text[len(body) :]
+                    if mark not in self.marks:
+                        self.marks[mark] = self._general([mark])[0]
+                    ids += self.marks[mark]
+                out[k] = ids
+            else:
+                others.append(k)
+        for k, ids in zip(others, self._general([chunks[k].decode("utf-8", "replace") for k in others]), strict=True):
+            out[k] = ids
+        if len(self.marks) > 1000:
+            self.marks = {}
+        return out
+
+    def _known(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks, encoding those not met lately."""
         young, old = self.young, self.old
-        new = []
+        new = [c for c in chunks if c not in young and c not in old]
+        for at in range(0, len(new), 4096):
+            young.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096]), strict=True))
+        out = []
         for c in chunks:
-            if c not in young:
-                if c in old:
-                    young[c] = old[c]
-                else:
-                    new.append(c)
-        if new:
-            young.update(zip(new, self._encode(new), strict=True))
-
-    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
+            ids = young.get(c)
+            if ids is None:
+                ids = young[c] = old[c]
+            out.append(ids)
+        if len(young) > CACHE_CHUNKS:
+            self.old = {c: v for c, v in young.items() if len(c) <= CACHE_LONGEST}
+            self.young = {}
+        return out
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text (null: empty), ended by END_ID."""
-        for text in texts:
-            chunks = (text or b"").split()
-            distinct = set(chunks)
-            self._learn(distinct)
-            yield b"".join(map(self.young.__getitem__, chunks)) + self.end
-            if len(self.young) > CACHE_CHUNKS:
-                self.old = {c: v for c, v in self.young.items() if len(c) <= CACHE_LONGEST}
-                self.young = {}
+        texts = pc.fill_null(texts, "")
+        # Where the tokenizer ignores case, it does not in the names of special tokens.
+        if self.folds_case and not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        known = self._known(raw_bytes(coded.dictionary))
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths
+        each = lengths[codes]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = pool[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield flat[a:b].tobytes() + self.end
 
 
 @functools.lru_cache(maxsize=2)
