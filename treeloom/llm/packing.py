@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from treeloom.llm import scratch, tokens
 
 CAPACITY = 2048
-GROUP_DOCS = 1024
+GROUP_DOCS = 512
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -102,7 +102,7 @@ def _pack_group(capacity: int):
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents with their ids (32-bit little-endian), sequence and offset."""
-    scratch.bounded_batches(docs.sparkSession)
+    scratch.bounded_batches(docs.sparkSession, rows=512, megabytes=4)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     groups = max(1, math.ceil(docs.count() / group_docs))
     grouped = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "doc_id", "text")

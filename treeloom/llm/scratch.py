@@ -67,7 +67,7 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512, megabytes: int = 4) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 256, megabytes: int = 2) -> None:
     """Bound Arrow batches by rows and bytes: texts are of any length, workers are small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,23 +66,25 @@ class ChunkTokenizer:
 
     def _word(self, letters: str) -> bytes:
         """The ids of a run of letters, straight from the merges."""
-        spelled = letters.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        if not (letters.isascii() and letters.islower()):
+            letters = letters.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         """Plain words skip the tokenizer's own splitting; a closing full stop or comma is a piece."""
         out, others = [b""] * len(chunks), []
+        young, old, marks = self.young, self.old, self.marks
         for k, c in enumerate(chunks):
-            text = c.decode("utf-8", "replace")
-            body = text.rstrip(".,")
-            if self.direct and body.isalpha() and max(body) < PLAIN_BELOW and "\u0130" not in body:
-                ids = self._word(body)
-                if len(body) < len(text):
-                    mark = text[len(body) :]
-                    if mark not in self.marks:
-                        self.marks[mark] = self._general([mark])[0]
-                    ids += self.marks[mark]
-                out[k] = ids
+            raw = c.rstrip(b".,")
+            body = raw.decode("utf-8", "replace")
+            if self.direct and body.isalpha() and (body.isascii() or (max(body) < PLAIN_BELOW and "\u0130" not in body)):
+                if len(raw) == len(c):
+                    out[k] = self._word(body)
+                    continue
+                mark = c[len(raw) :]
+                if mark not in marks:
+                    marks[mark] = self._general([mark.decode()])[0]
+                out[k] = (young.get(raw) or old.get(raw) or self._word(body)) + marks[mark]
             else:
                 others.append(k)
         for k, ids in zip(others, self._general([chunks[k].decode("utf-8", "replace") for k in others]), strict=True):
