@@ -1,11 +1,12 @@
 """Queries of the corpus operators, by name; and their SQL, where SQL can express them."""
 
-from treeloom.llm import embeddings, langid, packing, pii, quality, secrets
+from treeloom.llm import embeddings, langid, ngram_join, packing, pii, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op4_language_id": langid.op4_language_id,
         "op6_embedding_neardup": embeddings.op6_embedding_neardup,
         "op7_secret_scans": secrets.op7_secret_scans,
