@@ -1,6 +1,6 @@
 """Queries of the corpus operators, by name; and their SQL, where SQL can express them."""
 
-from treeloom.llm import embeddings, langid, ngram_join, packing, pii, quality, secrets
+from treeloom.llm import embeddings, langid, ngram_join, packing, pii, quality, secrets, substrings
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_embedding_neardup": embeddings.op6_embedding_neardup,
         "op7_secret_scans": secrets.op7_secret_scans,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_suffix_array_dedup": substrings.op9_suffix_array_dedup,
         "op10_pii": pii.op10_pii,
     }
 
