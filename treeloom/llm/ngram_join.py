@@ -4,9 +4,10 @@ Texts are sets of five-word shingles (64-bit hashes). Texts with equal sets are
 copies are never compared. Band and row counts are chosen for a target recall at the threshold.
 One shuffle on band hashes groups nodes into buckets; no bucket is expanded into pairs:
 
-1. every member of a bucket is checked against the bucket's smallest node on full sets;
+1. every member of a bucket is checked against the bucket's pivot on full sets; each bucket
+   draws its own pivot, so members of a large group meet many of them;
 2. components of the verified links are found;
-3. members that ended in another component than their bucket's smallest node are checked
+3. members that ended in another component than their bucket's pivot, few by then, are checked
    against the bucket's members outside their own component, so every candidate pair is either
    verified or already joined;
 4. inside components, links are counted exactly on full sets, block by block.
@@ -177,14 +178,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     nodes = scratch.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
 
     placed = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    buckets = scratch.save(placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "buckets")
+    buckets = scratch.save(placed.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "buckets")
     shared = scratch.save(placed.join(buckets.hint("merge"), "bucket"), "shared")
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "rep"), "node")
     by_rep = docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").select("node", "text")
     texts = scratch.save(by_rep.mapInArrow(_pack_texts, "node long, packed binary").dropDuplicates(["node"]), "texts")
 
-    stars = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = shared.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     links = _checked(stars, texts, similarity, scratch)
     joined = cc.components(links, scratch)
     rest = _unjoined(shared, joined, similarity, scratch)
