@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Ends every document.
 END_ID = 1
 #: Chunks kept by a worker, and the longest that is kept (bytes).
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 300_000
 CACHE_LONGEST = 48
 
 #: Letters below this code point are single, composed and lower-cased one by one.
