@@ -1,12 +1,13 @@
 """Queries of the corpus operators, by name; and their SQL, where SQL can express them."""
 
-from treeloom.llm import embeddings, langid, ngram_join, packing, pii, quality, secrets, substrings
+from treeloom.llm import embeddings, langid, ngram_join, packing, pii, quality, secrets, shards, substrings
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+        "op3_token_shards": shards.op3_token_shards,
         "op4_language_id": langid.op4_language_id,
         "op6_embedding_neardup": embeddings.op6_embedding_neardup,
         "op7_secret_scans": secrets.op7_secret_scans,
