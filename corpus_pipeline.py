@@ -1,11 +1,59 @@
-"""Corpus pipeline: quality rules, near-duplicate join, secret scan, mixing, packing."""
+"""Corpus pipeline: quality rules, near-duplicate join, secret scan, mixing, packing.
 
-STAGES = []
+Every stage reads what the stage before it kept, written as Parquet in the shared folder, and
+its decisions take effect: rejected documents go, one document of each group of near-duplicates
+stays, secrets are replaced in the text, documents are left out or repeated by their rate, and
+the rest is packed into sequences. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from treeloom.llm import mixing, ngram_join, packing, quality, secrets
+from treeloom.llm.scratch import Scratch
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule of the default policy."""
+    return quality.apply_policy(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of texts linked by five-word Jaccard of 0.8 or more."""
+    return ngram_join.keep_one(docs, ngram_join.near_duplicates(docs))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced."""
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the rates that meet the domain targets say."""
+    return mixing.mix(docs, mixing.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram jaccard join", near_duplicate_stage),
+    ("secret scans", secret_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL cannot tokenize, and the mixing stage is iterative; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -115,7 +115,8 @@ def measurements(text: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text", into: str = "_ledger") -> DataFrame:
     """docs with a struct column of the measurements and ``bits``, the failed rules."""
-    measured = docs.withColumn(into, measurements(F.col(text)))
+    # A generator is evaluated once; a filter on a plain column would be pushed down and repeat it.
+    measured = docs.select("*", F.explode(F.array(measurements(F.col(f"`{text}`")))).alias(into))
     bits = F.lit(0).cast("long")
     fields = [f.name for f in measured.schema[into].dataType.fields]
     for i, (_, failing) in enumerate(RULES):

@@ -1,6 +1,6 @@
 """Queries of the corpus operators, by name; and their SQL, where SQL can express them."""
 
-from treeloom.llm import embeddings, langid, ngram_join, packing, pii, quality, secrets, shards, substrings
+from treeloom.llm import embeddings, langid, mixing, ngram_join, packing, pii, quality, secrets, shards, substrings
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op3_token_shards": shards.op3_token_shards,
         "op4_language_id": langid.op4_language_id,
+        "op5_mixing": mixing.op5_mixing,
         "op6_embedding_neardup": embeddings.op6_embedding_neardup,
         "op7_secret_scans": secrets.op7_secret_scans,
         "op8_quality_rules": quality.op8_quality_rules,
