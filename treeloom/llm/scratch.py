@@ -62,9 +62,12 @@ def release_shuffles(spark: SparkSession) -> None:
     run for the whole of a long job; asking for one between phases bounds the disk in use.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection lets go of frames, the second of what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 256, megabytes: int = 2) -> None:

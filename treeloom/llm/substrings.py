@@ -179,73 +179,160 @@ def _suffixes(length: int, gram: int):
     return run
 
 
-def _windows(length: int):
-    """(doc, packed text, runs) to the single windows of those runs."""
+def _segments(doc: np.ndarray, run: np.ndarray, p: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of stretches of one document, run and verdict."""
+    new = np.append(True, (doc[1:] != doc[:-1]) | (run[1:] != run[:-1]) | (p[1:] != p[:-1] + 1) | (gone[1:] != gone[:-1]))
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(doc)))
+
+
+def _larger(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows also start in a smaller document of those given."""
+    order = np.lexsort((doc, h))
+    hs, ds = h[order], doc[order]
+    new = np.append(True, hs[1:] != hs[:-1])
+    least = ds[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    out = np.zeros(len(h), bool)
+    out[order] = ds > least
+    return out
 
-    def run(batches):
+
+def _contexts(length: int, gram: int):
+    """(doc, packed text, runs) to stretches of those runs that the batch leaves open, with their bytes."""
+    width = length - gram + 1
+
+    def flush(texts: list[tuple[int, np.ndarray, np.ndarray]]):
+        docs, raws, ats = zip(*texts, strict=True)
+        base = np.cumsum([0, *map(len, raws)])[:-1]
+        raw = np.concatenate(raws)
+        first = np.concatenate([b + (at >> 8) for b, at in zip(base, ats, strict=True)])
+        n = np.concatenate([at >> 1 & 127 for at in ats])
+        ids = np.repeat(np.array(docs, np.int64), [len(at) for at in ats])
+        start_of = np.repeat(base, [len(at) for at in ats])
+        h = Hashes(raw)
+        run = np.repeat(np.arange(len(n)), n)
+        p = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        doc = ids[run]
+        gone = _larger(h(p, p + length), doc)
+        seg, count = _segments(doc, run, p, gone)
+        at = ((p[seg] - start_of[run[seg]]) << 8) | (count << 1) | gone[seg]
+        # Every window of a run has the same representative.
+        anchor = p[seg] + _order(p[seg], h, width, gram)
+        lead, key = _leads(raw, anchor), h(anchor, anchor + gram).view(np.int64)
+        mixed = ((doc[seg].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)) * _MIX).view(np.int64)
+        done = gone[seg]
+        lead[done], key[done] = mixed[done], mixed[done]
+        whole = raw.tobytes()
+        cut = [b"" if g else whole[x : x + c + length - 1] for g, x, c in zip(done.tolist(), p[seg].tolist(), count.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(key), pa.array(doc[seg]), pa.array(at), pa.array(cut, pa.binary())], names=["lead", "h", "doc", "at", "cut"])
+
+    def run_all(batches):
         unpack = zstandard.ZstdDecompressor()
+        texts, size = [], 0
         for b in batches:
-            found = []
             for doc, packed, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 raw = np.frombuffer(unpack.decompress(packed), np.uint8)
                 at = np.unique(at.values.to_numpy())
-                n = at >> 1 & 127
-                p = np.repeat((at >> 8) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                p = p[p + length <= len(raw)]
-                found.append((_leads(raw, p), Hashes(raw)(p, p + length).view(np.int64), np.full(len(p), doc), p << 8 | 2))
-                if sum(len(f[0]) for f in found) > 200_000:
-                    yield _batch(*_combine(*map(np.concatenate, zip(*found, strict=True))))
-                    found = []
-            if found:
-                yield _batch(*_combine(*map(np.concatenate, zip(*found, strict=True))))
+                at = at[(at >> 8) + (at >> 1 & 127) + length - 1 <= len(raw)]
+                texts.append((doc, raw, at))
+                size += len(raw)
+                if size > SLICE * 4:
+                    yield flush(texts)
+                    texts, size = [], 0
+        if texts:
+            yield flush(texts)
+
+    return run_all
+
+
+def _order(p: np.ndarray, h: Hashes, width: int, gram: int) -> np.ndarray:
+    """Offset of the representative of each window: its least k-gram by hash, leftmost."""
+    at = p[:, None] + np.arange(width)
+    keys = (h.sums[at + gram] - h.sums[at]) * Hashes.inverse[at]
+    keys ^= keys >> np.uint64(32)
+    keys *= _MIX
+    return (keys >> np.uint64(32)).argmin(1)
+
+
+def _compare_contexts(length: int):
+    """Sorted stretches of a bucket to spans; stretches with equal windows have equal keys."""
+
+    def settle(doc: np.ndarray, at: np.ndarray, cut: list[bytes]):
+        done = (at & 1).astype(bool)
+        yield from _pairs(doc[done], at[done])
+        left = np.flatnonzero(~done)
+        if not len(left):
+            return
+        raw = np.frombuffer(b"".join(cut[k] for k in left), np.uint8)
+        n = at[left] >> 1 & 127
+        base = np.cumsum(n + length - 1) - (n + length - 1)
+        row = np.repeat(np.arange(len(left)), n)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        p = base[row] + within
+        gone = _larger(Hashes(raw)(p, p + length), doc[left][row])
+        seg, count = _segments(row, row, within, gone)
+        seg, count = seg[gone[seg]], count[gone[seg]]
+        yield from _pairs(doc[left][row[seg]], (((at[left][row[seg]] >> 8) + within[seg]) << 8) | (count << 1) | 1)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            rows = [*(c.to_numpy() for c in b.columns[:4]), b.column(4).to_pylist()]
+            if held is not None:
+                rows = [*(np.concatenate(x) for x in zip(held[:4], rows[:4], strict=True)), held[4] + rows[4]]
+            lead, h, doc, at, cut = rows
+            last = len(lead)
+            if last:
+                differs = np.flatnonzero((lead != lead[-1]) | (h != h[-1]))
+                last = int(differs[-1]) + 1 if len(differs) else 0
+            yield from settle(doc[:last], at[:last], cut[:last])
+            held = [lead[last:], h[last:], doc[last:], at[last:], cut[last:]]
+        if held is not None:
+            yield from settle(*held[2:])
 
     return run
 
 
-def _neighbours(look_further: bool):
-    """Sorted rows of a bucket to spans (lowest bit of at set) and, if asked, runs to look into.
+def _neighbours(batches):
+    """Sorted rows of a bucket to spans (lowest bit of at set) and runs to look into.
 
     A run is looked into if the run before or after it in the bucket has the same k-gram, or
     lies beyond the bucket's end, where it cannot be seen.
     """
 
-    def settle(rows: list[np.ndarray], new: np.ndarray, count: int, first: bool, last: bool, before: tuple | None):
+    def settle(rows: list[np.ndarray], new: np.ndarray, count: int, last: bool, before: tuple | None):
         """The rows of the first count groups; new holds where groups start."""
         end = new[count] if count < len(new) else len(rows[0])
-        lead, h, doc, at = (x[:end] for x in rows)
+        doc, at = rows[2][:end], rows[3][:end]
         starts = new[:count]
         group = np.repeat(np.arange(count), np.diff(np.append(starts, end)))
         gone = (at & 1).astype(bool) | (doc > doc[starts][group])
         yield from _pairs(doc[gone], at[gone] | 1)
-        if look_further:
-            every = new[: count + 1]
-            gl, gh = rows[0][every], rows[1][every] >> 32
-            same = (gl[1:] == gl[:-1]) & (gh[1:] == gh[:-1])
-            unsure = np.zeros(len(every), bool)
-            unsure[1:] |= same
-            unsure[:-1] |= same
-            unsure[0] |= first or before == (int(gl[0]), int(gh[0]))
-            unsure[-1] |= last
-            more = unsure[group] & ~gone
-            yield from _pairs(doc[more], at[more])
-
-    def run(batches):
-        held, before = None, None
-        for b in batches:
-            rows = [c.to_numpy() for c in b.columns]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            lead, h = rows[0], rows[1]
-            new = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (h[1:] != h[:-1])))
-            held = rows
-            if len(lead) and len(new) > 1:  # the last group waits, as more of its rows may follow
-                yield from settle(rows, new, len(new) - 1, before is None, False, before)
-                before = int(lead[new[-2]]), int(h[new[-2]] >> 32)
-                held = [x[new[-1] :] for x in rows]
-        if held is not None and len(held[0]):
-            yield from settle(held, np.zeros(1, np.int64), 1, before is None, True, before)
-
-    return run
+        every = new[: count + 1]
+        gl, gh = rows[0][every], rows[1][every] >> 32
+        same = (gl[1:] == gl[:-1]) & (gh[1:] == gh[:-1])
+        unsure = np.zeros(len(every), bool)
+        unsure[1:] |= same
+        unsure[:-1] |= same
+        unsure[0] |= before is None or before == (int(gl[0]), int(gh[0]))
+        unsure[-1] |= last
+        more = unsure[group] & ~gone
+        yield from _pairs(doc[more], at[more])
+
+    held, before = None, None
+    for b in batches:
+        rows = [c.to_numpy() for c in b.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        lead, h = rows[0], rows[1]
+        new = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (h[1:] != h[:-1])))
+        held = rows
+        if len(lead) and len(new) > 1:  # the last group waits, as more of its rows may follow
+            yield from settle(rows, new, len(new) - 1, False, before)
+            before = int(lead[new[-2]]), int(h[new[-2]] >> 32)
+            held = [x[new[-1] :] for x in rows]
+    if held is not None and len(held[0]):
+        yield from settle(held, np.zeros(1, np.int64), 1, True, before)
 
 
 def _pairs(doc: np.ndarray, at: np.ndarray):
@@ -253,9 +340,9 @@ def _pairs(doc: np.ndarray, at: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at)], names=["doc", "at"])
 
 
-def _sorted_pairs(rows: DataFrame, look_further: bool) -> DataFrame:
+def _sorted_pairs(rows: DataFrame) -> DataFrame:
     """Range-partition by sampled splitters, sort each bucket by several keys, compare neighbours."""
-    return rows.repartitionByRange("lead", "h").sortWithinPartitions("lead", "h", "doc").mapInArrow(_neighbours(look_further), "doc long, at long")
+    return rows.repartitionByRange("lead", "h").sortWithinPartitions("lead", "h", "doc").mapInArrow(_neighbours, "doc long, at long")
 
 
 def _packed(batches):
@@ -306,13 +393,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     bounded_batches(spark, rows=20_000, megabytes=1)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     known = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    marks = scratch.save(_sorted_pairs(known.mapInArrow(_suffixes(length, gram), ROWS), True), "marks")
+    marks = scratch.save(_sorted_pairs(known.mapInArrow(_suffixes(length, gram), ROWS)), "marks")
     release_shuffles(spark)
 
     unsure = marks.where("at & 1 = 0").groupBy("doc").agg(F.collect_list("at").alias("at"))
     looked = known.mapInArrow(_packed, "doc_id long, packed binary").join(unsure.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id")
-    windows = looked.select("doc_id", "packed", "at").mapInArrow(_windows(length), ROWS)
-    single = scratch.save(_sorted_pairs(windows, False), "windows")
+    open_ = looked.select("doc_id", "packed", "at").mapInArrow(_contexts(length, gram), ROWS + ", cut binary")
+    dealt = open_.repartitionByRange("lead", "h").sortWithinPartitions("lead", "h")
+    single = scratch.save(dealt.mapInArrow(_compare_contexts(length), "doc long, at long"), "windows")
     release_shuffles(spark)
 
     spans = marks.where("at & 1 = 1").union(single).groupBy("doc").agg(F.collect_list("at").alias("at")).withColumnRenamed("doc", "doc_id")
