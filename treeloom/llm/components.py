@@ -5,8 +5,8 @@ point to a smaller node, and every step is a minimum per node joined back to its
 Minima are written out before the join, so both of its sides are plain shuffles that adaptive
 execution can split when one node has a large share of the edges.
 
-``count_links`` cuts each component into blocks of about BLOCK members and compares blocks in
-pairs, each in one small task; only counts leave a task. Rows moved grow with members times
+``count_links`` and ``spanning_links`` cut each group into blocks of about BLOCK members and
+compare blocks in pairs, each in one small task; only counts, or joining links, leave a task. Rows moved grow with members times
 blocks of their component, and never with pairs of members.
 """
 
@@ -57,11 +57,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
 
 
-def count_links(members: DataFrame, adjacency: Callable[[list[bytes], list[bytes]], np.ndarray], scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(node, links): for members (component, node, weight, payload), the weights of linked others.
-
-    adjacency compares two lists of payloads and gives a boolean matrix.
-    """
+def _deal(members: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """members (component, node, weight, payload) by pairs of blocks; small components share bins."""
     sizes = scratch.save(members.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     bins = max(1, total // BIN)
@@ -69,34 +66,74 @@ def count_links(members: DataFrame, adjacency: Callable[[list[bytes], list[bytes
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     small = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(True).alias("first"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).cast("int").alias("i"), F.greatest(own, o).cast("int").alias("j"), (own <= o).alias("first")))
-    dealt = cut.select(
+    return cut.select(
         "component", "node", "weight", "payload",
         F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array(small))).alias("at"),
         F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"),
     ).select("bin", "at.i", "at.j", "at.first", "component", "node", "weight", "payload")
 
+
+def _parts(key: tuple[pa.Scalar, ...], table: pa.Table):
+    """(rows, columns, same) of every comparison of one task."""
+    i, j = key[1].as_py(), key[2].as_py()
+    if i < 0:
+        component = table["component"].to_numpy()
+        order = np.argsort(component, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+            yield rows, rows, True
+    elif i == j:
+        yield np.arange(len(table)), np.arange(len(table)), True
+    else:
+        first = np.array(table["first"].to_pylist(), bool)
+        yield np.flatnonzero(first), np.flatnonzero(~first), False
+
+
+def count_links(members: DataFrame, adjacency: Callable[[list[bytes], list[bytes]], np.ndarray], scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """(node, links): for members (component, node, weight, payload), the weights of linked others.
+
+    adjacency compares two lists of payloads and gives a boolean matrix.
+    """
+
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        node, weight = table["node"].to_numpy(), table["weight"].to_numpy()
-        component, first = table["component"].to_numpy(), np.array(table["first"].to_pylist(), bool)
-        payload = table["payload"].to_pylist()
+        node, weight, payload = table["node"].to_numpy(), table["weight"].to_numpy(), table["payload"].to_pylist()
         found = np.zeros(len(node), np.int64)
-
-        def add(rows: np.ndarray, columns: np.ndarray, same: bool) -> None:
+        for rows, columns, same in _parts(key, table):
+            if not len(rows) or not len(columns):
+                continue
             linked = adjacency([payload[k] for k in rows], [payload[k] for k in columns])
             if same:
                 np.fill_diagonal(linked, False)
-            found[rows] += linked @ weight[columns]
-            if not same:
+            else:
                 found[columns] += linked.T @ weight[rows]
-
-        if key[1].as_py() < 0:
-            order = np.argsort(component, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
-                add(rows, rows, True)
-        elif key[1].as_py() == key[2].as_py():
-            add(np.arange(len(node)), np.arange(len(node)), True)
-        else:
-            add(np.flatnonzero(first), np.flatnonzero(~first), False)
+            found[rows] += linked @ weight[columns]
         return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(found)})
 
-    return dealt.groupBy("bin", "i", "j").applyInArrow(compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return _deal(members, scratch, block).groupBy("bin", "i", "j").applyInArrow(compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def spanning_links(members: DataFrame, adjacency: Callable[[list[bytes], list[bytes]], np.ndarray], scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """(a, b): links inside the groups of members that join all that is linked there.
+
+    A task emits fewer links than it has members, as it leaves out those that join nothing new.
+    """
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        node, payload = table["node"].to_numpy(), table["payload"].to_pylist()
+        a, b = [], []
+        for rows, columns, same in _parts(key, table):
+            if not len(rows) or not len(columns):
+                continue
+            linked = adjacency([payload[k] for k in rows], [payload[k] for k in columns])
+            if same:
+                np.fill_diagonal(linked, False)
+            label = np.arange(len(node))
+            for r in np.flatnonzero(linked.any(1)):
+                i = rows[r]
+                for j in columns[linked[r]]:
+                    if label[i] != label[j]:
+                        a.append(int(node[i]))
+                        b.append(int(node[j]))
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _deal(members, scratch, block).groupBy("bin", "i", "j").applyInArrow(compare, "a long, b long")

@@ -2,14 +2,13 @@
 
 Texts are sets of five-word shingles (64-bit hashes). Texts with equal sets are one node, so
 copies are never compared. Band and row counts are chosen for a target recall at the threshold.
-One shuffle on band hashes groups nodes into buckets; no bucket is expanded into pairs:
+One shuffle on band hashes groups nodes into buckets; no bucket is written out as pairs:
 
 1. every member of a bucket is checked against the bucket's pivot on full sets; each bucket
    draws its own pivot, so members of a large group meet many of them;
 2. components of the verified links are found;
-3. members that ended in another component than their bucket's pivot, few by then, are checked
-   against the bucket's members outside their own component, so every candidate pair is either
-   verified or already joined;
+3. buckets whose members are still in several components are compared in full, block by block,
+   so every candidate pair is either verified or already joined;
 4. inside components, links are counted exactly on full sets, block by block.
 
 Only texts that share a bucket are shuffled, compressed. Links are exact; a pair in no common
@@ -110,7 +109,7 @@ def _sign(bands: int, rows: int):
         for b in batches:
             sets = [shingles(t) for t in tokens.raw_bytes(b.column(1))]
             node = pa.array([_node(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array([len(s) for s in sets], pa.int32()), pa.array([sign(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array([sign(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
 
     return run
 
@@ -174,10 +173,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     bounded_batches(spark)
     bands, rows = choose_bands(similarity, recall)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = scratch.save(docs.mapInArrow(_sign(bands, rows), "doc_id long, node long, size int, bands array<long>"), "signed")
-    nodes = scratch.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    signed = scratch.save(docs.mapInArrow(_sign(bands, rows), "doc_id long, node long, bands array<long>"), "signed")
+    nodes = scratch.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
 
-    placed = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    placed = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = scratch.save(placed.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "buckets")
     shared = scratch.save(placed.join(buckets.hint("merge"), "bucket"), "shared")
 
@@ -188,10 +187,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     stars = shared.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     links = _checked(stars, texts, similarity, scratch)
     joined = cc.components(links, scratch)
-    rest = _unjoined(shared, joined, similarity, scratch)
+    rest = _unjoined(shared, joined, scratch)
     if not rest.isEmpty():
-        links = links.union(_checked(rest, texts, similarity, scratch))
-        joined = cc.components(links, scratch)
+        members = rest.join(texts, "node").select(F.col("bucket").alias("component"), "node", F.lit(1).cast("long").alias("weight"), F.col("packed").alias("payload"))
+        more = scratch.save(cc.spanning_links(members, _adjacency(similarity), scratch), "more")
+        joined = cc.components(links.union(more), scratch)
 
     members = joined.join(nodes.select("node", "copies"), "node").join(texts, "node").select("component", "node", F.col("copies").alias("weight"), F.col("packed").alias("payload"))
     counts = cc.count_links(members, _adjacency(similarity), scratch)
@@ -203,19 +203,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _unjoined(shared: DataFrame, joined: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) that neither share a component nor were checked against a pivot."""
-    label = scratch.save(shared.join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    home = joined.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
-    placed = label.join(home.hint("merge"), "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    strays = scratch.save(placed.where("component <> home").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa")), "strays")
-    mixed = strays.select("bucket").distinct()
-    others = placed.join(mixed, "bucket", "left_semi").where("node <> pivot").select(
-        "bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), (F.col("component") != F.col("home")).alias("stray")
-    )
-    near = F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb") - 1e-9
-    pairs = strays.join(others, "bucket").where((F.col("ca") != F.col("cb")) & near & (~F.col("stray") | (F.col("a") < F.col("b"))))
-    return scratch.save(pairs.select("a", "b").distinct(), "rest")
+def _unjoined(shared: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node) of the buckets whose members are in several components."""
+    label = scratch.save(shared.join(joined.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    mixed = label.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    return scratch.save(label.join(scratch.save(mixed, "mixed").hint("merge"), "bucket").select("bucket", "node"), "unjoined")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
