@@ -40,6 +40,8 @@ LENGTH = 50
 GRAM = 20
 #: Windows handled at a time.
 SLICE = 1 << 18
+#: Windows of a key expanded at a time.
+PART = 150_000
 ROWS = "lead long, h long, doc long, at long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -255,44 +257,75 @@ def _order(p: np.ndarray, h: Hashes, width: int, gram: int) -> np.ndarray:
 
 
 def _compare_contexts(length: int):
-    """Sorted stretches of a bucket to spans; stretches with equal windows have equal keys."""
+    """Sorted stretches of a bucket to spans; stretches with equal windows have equal keys.
 
-    def settle(doc: np.ndarray, at: np.ndarray, cut: list[bytes]):
+    A key's stretches are held as bytes until all have come; their windows are expanded a part
+    at a time, first for the smallest document of every distinct window, then for the verdicts.
+    """
+
+    def settle(table: pa.Table):
+        doc, at = table["doc"].to_numpy(), table["at"].to_numpy()
         done = (at & 1).astype(bool)
         yield from _pairs(doc[done], at[done])
-        left = np.flatnonzero(~done)
-        if not len(left):
+        if done.all():
             return
-        raw = np.frombuffer(b"".join(cut[k] for k in left), np.uint8)
-        n = at[left] >> 1 & 127
-        base = np.cumsum(n + length - 1) - (n + length - 1)
-        row = np.repeat(np.arange(len(left)), n)
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        p = base[row] + within
-        gone = _larger(Hashes(raw)(p, p + length), doc[left][row])
-        seg, count = _segments(row, row, within, gone)
-        seg, count = seg[gone[seg]], count[gone[seg]]
-        yield from _pairs(doc[left][row[seg]], (((at[left][row[seg]] >> 8) + within[seg]) << 8) | (count << 1) | 1)
+        kept = table.filter(pa.array(~done))
+        doc, at = kept["doc"].to_numpy(), kept["at"].to_numpy()
+        cut = pa.concat_arrays(kept["cut"].chunks)
+        offsets = np.frombuffer(cut.buffers()[1], np.int32)[cut.offset : cut.offset + len(cut) + 1].astype(np.int64)
+        data = np.frombuffer(cut.buffers()[2], np.uint8)
+        n = at >> 1 & 127
+        total = np.cumsum(n)
+        ends = np.unique(np.append(np.searchsorted(total, np.arange(PART, total[-1], PART), "right"), len(n)))
+        spans = [(int(a), int(b)) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True) if a < b]
+
+        def windows(a: int, b: int):
+            m, raw = n[a:b], data[offsets[a] : offsets[b]]
+            row = np.repeat(np.arange(b - a), m)
+            within = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            p = (offsets[a:b] - offsets[a])[row] + within
+            return row, within, Hashes(raw)(p, p + length)
+
+        known, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for a, b in spans:
+            row, _, h = windows(a, b)
+            known, least = _least_by(np.concatenate([known, h]), np.concatenate([least, doc[a:b][row]]))
+        for a, b in spans:
+            row, within, h = windows(a, b)
+            gone = doc[a:b][row] > least[np.searchsorted(known, h)]
+            seg, count = _segments(row, row, within, gone)
+            seg, count = seg[gone[seg]], count[gone[seg]]
+            yield from _pairs(doc[a:b][row[seg]], (((at[a:b][row[seg]] >> 8) + within[seg]) << 8) | (count << 1) | 1)
 
     def run(batches):
-        held = None
+        held = []
         for b in batches:
-            rows = [*(c.to_numpy() for c in b.columns[:4]), b.column(4).to_pylist()]
-            if held is not None:
-                rows = [*(np.concatenate(x) for x in zip(held[:4], rows[:4], strict=True)), held[4] + rows[4]]
-            lead, h, doc, at, cut = rows
-            last = len(lead)
+            if not len(b):
+                continue
+            lead, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+            differs = np.flatnonzero((lead != lead[-1]) | (h != h[-1]))
+            last = int(differs[-1]) + 1 if len(differs) else 0
+            if not last and held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (int(lead[0]), int(h[0])):
+                yield from settle(pa.Table.from_batches(held))
+                held = []
             if last:
-                differs = np.flatnonzero((lead != lead[-1]) | (h != h[-1]))
-                last = int(differs[-1]) + 1 if len(differs) else 0
-            yield from settle(doc[:last], at[:last], cut[:last])
-            held = [lead[last:], h[last:], doc[last:], at[last:], cut[last:]]
-        if held is not None:
-            yield from settle(*held[2:])
+                yield from settle(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from settle(pa.Table.from_batches(held))
 
     return run
 
 
+def _least_by(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and the smallest document of each."""
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.append(True, h[1:] != h[:-1])
+    return h[new], doc[new]
+
+
 def _neighbours(batches):
     """Sorted rows of a bucket to spans (lowest bit of at set) and runs to look into.
 
