@@ -31,7 +31,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates that meet the domain targets say."""
-    return mixing.mix(docs, mixing.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    mixer, _ = mixing.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(docs, mixer)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ A is tokens times posterior and M the domains' moment matrix, so a step of 1 is
 depends on the posterior alone; posteriors are rounded to GRID, which bounds the table the
 iterations run over by the grid, not the corpus. A token here is a blank-separated word.
 
-Documents are read twice (statistics, then application); no text is shuffled. The labelled
-sample has at most TRAIN_ROWS rows, the only thing broadcast. Only built-in expressions run.
+Documents are measured in one scan; applying the rates to texts is another. No text is shuffled.
+The labelled sample has about TRAIN_ROWS rows, the only thing broadcast. Only built-in expressions run.
 
 Null text has no words: its posterior is that of a document without marks, its weight is 0.
 Documents without labels, and labels without documents, are fine; labels with a null id or domain
@@ -44,27 +44,21 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def marks(text: Column) -> Column:
-    """The distinct words of a text, lower-cased, with marks of its format (which hold a blank)."""
-    some = lambda name, test: F.when(test, F.array(F.lit(f" {name}"))).otherwise(F.array().cast("array<string>"))
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-
-    def with_format(words: Column, distinct: Column, letters: Column) -> Column:
-        return F.concat(
-            distinct,
-            some("symbols", 10 * symbols > 3 * F.size(words)),
-            some("shouting", 2 * (F.length(letters) - F.length(F.translate(letters, UPPER, ""))) > F.length(letters)),
-            some("repeating", 3 * F.size(distinct) < F.size(words)),
-            some("short", F.size(words) < 20),
-        )
-
-    words = F.filter(F.split(F.lower(text), SEPARATE), lambda w: w != "")
-    letters = F.regexp_replace(text, "[^A-Za-z]+", "")
-    return _let(words, lambda w: _let(F.array_distinct(w), lambda d: _let(letters, lambda x: with_format(w, d, x))))
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, SEPARATE), "")
 
 
-def n_tokens(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, SEPARATE), lambda w: w != "")).cast("long")
+def marks(text: Column, words: Column) -> Column:
+    """The distinct words of a text, with marks of its format (which hold a blank)."""
+    some = lambda name, test: F.when(test, F.array(F.lit(f" {name}"))).otherwise(F.array().cast("array<string>"))
+    count = lambda letters: F.length(text) - F.length(F.translate(text, letters, ""))
+    return _let(F.array_distinct(words), lambda distinct: F.concat(
+        distinct,
+        some("symbols", 10 * count(SYMBOLS) > 3 * F.size(words)),
+        some("shouting", 2 * count(UPPER) > F.length(text)),
+        some("repeating", 3 * F.size(distinct) < F.size(words)),
+        some("short", F.size(words) < 20),
+    ))
 
 
 class Mixer:
@@ -73,22 +67,26 @@ class Mixer:
     def __init__(self, domains: list[str], bias: list[float], weights: dict[str, list[float]]):
         self.domains, self.bias, self.weights, self.steps = domains, bias, weights, []
 
-    def posterior(self, text: Column) -> Column:
-        """Array of the domains' probabilities, rounded to GRID."""
+    def measured(self, text: Column) -> Column:
+        """Struct of p, the domains' probabilities rounded to GRID, and n, the words."""
         k = len(self.domains)
         bias = F.array(*[F.lit(float(b)) for b in self.bias])
-        if not self.weights:
-            score = bias
-        else:
-            names = F.array(*[F.lit(w) for w in self.weights])
+        names = F.array(*[F.lit(w) for w in self.weights]) if self.weights else None
+
+        def score(words: Column) -> Column:
+            if names is None:
+                return bias
             table = F.map_from_arrays(names, F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.weights.values()]))
-            found = F.array_intersect(names, marks(F.coalesce(text, F.lit(""))))
-            score = F.aggregate(found, bias, lambda s, w: F.zip_with(s, F.element_at(table, w), lambda a, b: a + b))
+            found = F.array_intersect(names, marks(text, words))
+            return F.aggregate(found, bias, lambda s, w: F.zip_with(s, F.element_at(table, w), lambda a, b: a + b))
 
         def softmax(s: Column) -> Column:
-            return _let(F.transform(s, lambda v: F.exp(v - F.array_max(s))), lambda e: F.transform(e, lambda v: F.round(v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x), GRID)))
+            if k == 1:
+                return F.array(F.lit(1.0))
+            top = F.transform(s, lambda v: F.exp(v - F.array_max(s)))
+            return _let(top, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda v: F.round(v / total, GRID))))
 
-        return _let(score, softmax) if k > 1 else F.array(F.lit(1.0))
+        return _let(words_of(text), lambda w: F.struct(_let(score(w), softmax).alias("p"), F.size(w).cast("long").alias("n")))
 
     def rate(self, p: Column) -> Column:
         """The rate of a posterior: every step moves it against the gradient, and not below 0."""
@@ -106,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = TR
     draw = F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30))
     sample = known.where(draw < int(min(1.0, rows / max(1, n)) * (1 << 30))).limit(2 * rows)
     held = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(sample), "_id")  # at most 2 * rows labels
-    each = held.select("domain", marks(F.col("text")).alias("marks"))
+    each = held.select("domain", F.explode(F.array(_let(words_of(F.col("text")), lambda w: marks(F.col("text"), w)))).alias("marks"))
     per = {r["domain"]: r["n"] for r in each.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(per.values())
     if not total:
@@ -126,11 +124,16 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = TR
     return Mixer(domains, bias, weights)
 
 
-def fit_rates(docs: DataFrame, mixer: Mixer, targets: dict[str, float], growth: float = GROWTH, text: str = "text") -> dict:
-    """Take gradient steps until expected domain totals match; returns totals and targets."""
-    scratch = Scratch(docs.sparkSession, "mixing")
+def measure(docs: DataFrame, mixer: Mixer, text: str = "text") -> DataFrame:
+    """docs with p and n. A generator is evaluated once; filters cannot be pushed below it."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    cells = scratch.save(docs.select(mixer.posterior(t).alias("p"), n_tokens(t).alias("n")).groupBy("p").agg(F.sum("n").alias("n")), "cells")
+    return docs.select("*", F.explode(F.array(mixer.measured(t))).alias("_m")).select("*", "_m.p", "_m.n").drop("_m")
+
+
+def fit_rates(measured: DataFrame, mixer: Mixer, targets: dict[str, float], growth: float = GROWTH) -> dict:
+    """Take gradient steps until expected domain totals match; returns totals and targets."""
+    scratch = Scratch(measured.sparkSession, "mixing")
+    cells = scratch.save(measured.groupBy("p").agg(F.sum("n").alias("n")), "cells")
     k = len(mixer.domains)
     at = lambda i: F.col("p")[i]
     moments = cells.agg(*[F.sum(F.col("n") * at(i)).alias(f"t{i}") for i in range(k)], *[F.sum(F.col("n") * at(i) * at(j)).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
@@ -154,19 +157,18 @@ def fit_rates(docs: DataFrame, mixer: Mixer, targets: dict[str, float], growth:
     return {"have": have.tolist(), "want": want.tolist(), "reached": reached.tolist()}
 
 
-def rated(docs: DataFrame, mixer: Mixer, doc_id: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
-    """docs with posterior, rate and copies: the rate's whole part, and one more by its fraction."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+def rated(measured: DataFrame, mixer: Mixer, doc_id: str = "doc_id", seed: int = 17) -> DataFrame:
+    """measured with rate and copies: the rate's whole part, and one more by its fraction."""
     draw = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
-    # A generator is evaluated once; filters on what follows cannot be pushed below it.
-    out = docs.select("*", F.explode(F.array(mixer.posterior(t))).alias("posterior")).withColumn("rate", mixer.rate(F.col("posterior")))
+    out = measured.withColumn("rate", mixer.rate(F.col("p")))
     return out.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
 def mix(docs: DataFrame, mixer: Mixer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document as often as its copies say."""
-    out = rated(docs, mixer, doc_id, text).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Every document as often as its copies say, with docs' own columns."""
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    out = rated(measure(inside, mixer, "_text"), mixer, "_id").where("copies > 0")
+    return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_doc.*")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -175,15 +177,17 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> Mixer:
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, doc_id: str = "doc_id") -> tuple[Mixer, DataFrame]:
+    """A mixer for docs, and the table (doc_id, p, n) its rates were fitted on."""
     targets = targets or TARGETS
-    mixer = train(docs, label_domains(labels), list(targets))
-    fit_rates(docs, mixer, targets)
-    return mixer
+    mixer = train(docs, label_domains(labels), list(targets), doc_id=doc_id)
+    measured = Scratch(docs.sparkSession, "mixing").save(measure(docs.select(doc_id, "text"), mixer).select(doc_id, "p", "n"), "measured")
+    fit_rates(measured, mixer, targets)
+    return mixer, measured
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    mixer = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    p = F.col("posterior")
-    return rated(docs, mixer).select("doc_id", *[p[k].alias(f"p_{d}") for k, d in enumerate(mixer.domains)], n_tokens(F.coalesce("text", F.lit(""))).alias("n_tokens"), "rate", "copies")
+    mixer, measured = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    p = F.col("p")
+    return rated(measured, mixer).select("doc_id", *[p[k].alias(f"p_{d}") for k, d in enumerate(mixer.domains)], F.col("n").alias("n_tokens"), "rate", "copies")
