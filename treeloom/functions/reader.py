@@ -113,7 +113,7 @@ class Reader:
         header = lex.read_header(first)
         if header and header.key is None:
             return self.array(header, flat[0].children, flat[0].depth)[0]
-        if len(flat) == 1 and (first in ("{}", "[]") or first[0] in '{["' or ":" not in first or lex.is_reference(first)):
+        if len(flat) == 1 and not header and (first in ("{}", "[]") or first[0] in '{["' or ":" not in first or lex.is_reference(first)):
             if first[0] != '"' or not self.has_key(first):
                 return self.inline(first)
         return self.object(root.children, 0)
