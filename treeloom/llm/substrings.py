@@ -218,11 +218,13 @@ def _contexts(length: int, gram: int):
         gone = _larger(h(p, p + length), doc)
         seg, count = _segments(doc, run, p, gone)
         at = ((p[seg] - start_of[run[seg]]) << 8) | (count << 1) | gone[seg]
-        # Every window of a run has the same representative.
-        anchor = p[seg] + _order(p[seg], h, width, gram)
+        done = gone[seg]
+        # Every window of a run has the same representative; a few thousand rows of k-grams at a time.
+        anchor = p[seg]
+        for k in range(0, len(seg), 4096):
+            anchor[k : k + 4096] += _order(anchor[k : k + 4096], h, width, gram)
         lead, key = _leads(raw, anchor), h(anchor, anchor + gram).view(np.int64)
         mixed = ((doc[seg].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)) * _MIX).view(np.int64)
-        done = gone[seg]
         lead[done], key[done] = mixed[done], mixed[done]
         whole = raw.tobytes()
         cut = [b"" if g else whole[x : x + c + length - 1] for g, x, c in zip(done.tolist(), p[seg].tolist(), count.tolist(), strict=True)]
@@ -236,11 +238,12 @@ def _contexts(length: int, gram: int):
                 raw = np.frombuffer(unpack.decompress(packed), np.uint8)
                 at = np.unique(at.values.to_numpy())
                 at = at[(at >> 8) + (at >> 1 & 127) + length - 1 <= len(raw)]
-                texts.append((doc, raw, at))
-                size += len(raw)
-                if size > SLICE * 4:
-                    yield flush(texts)
-                    texts, size = [], 0
+                for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(at >> 1 & 127) // PART)) + 1):
+                    texts.append((doc, raw, part))
+                    size += len(raw) + 8 * int((part >> 1 & 127).sum())
+                    if size > SLICE * 4:
+                        yield flush(texts)
+                        texts, size = [], 0
         if texts:
             yield flush(texts)
 
