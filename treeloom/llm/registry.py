@@ -1,6 +1,6 @@
 """Queries of the corpus operators, by name; and their SQL, where SQL can express them."""
 
-from treeloom.llm import embeddings, langid, mixing, ngram_join, packing, pii, quality, secrets, shards, substrings
+from treeloom.llm import embeddings, langid, mixing, ngram_join, oracles, packing, pii, quality, secrets, shards, substrings
 
 
 def queries() -> dict:
@@ -19,4 +19,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    """The rest is tested against brute force: tokenizers, models and byte offsets are beyond SQL."""
+    return {
+        "op2_ngram_jaccard_join": oracles.squeezed(oracles.ngram_jaccard_join()),
+        "op6_embedding_neardup": oracles.squeezed(oracles.embedding_neardup()),
+        "op8_quality_rules": oracles.squeezed(oracles.quality_rules()),
+    }
