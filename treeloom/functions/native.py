@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from treeloom.functions import lexical as lex
 
-_VALUE_CLASS = r'[ \t:"\;@#{}\[\]\n\r]'
-_KEY_CLASS = r'[ \t:"\;@#{}\[\],\n\r]'
+_VALUE_CLASS = r'[ \t:"\\;@#{}\[\]\n\r]'
+_KEY_CLASS = r'[ \t:"\\;@#{}\[\],\n\r]'
 _EDGE = rf"^[{lex.BLANK}]|[{lex.BLANK}]$"
 INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"

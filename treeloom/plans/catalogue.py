@@ -23,14 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # DuckDB's side of the quoting rules, as expressions over a string.
 def _sql_escape(x: str) -> str:
-    steps = [("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'"), ("';'", "'\;'")]
+    steps = [("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'"), ("';'", "'\\;'")]
     for raw, shown in steps:
         x = f"replace({x}, {raw}, {shown})"
     return x
 
 
 def _sql_string(x: str) -> str:
-    unsafe = r"""[ \t:"\;@#{}\[\],\n\r]"""
+    unsafe = r"""[ \t:"\\;@#{}\[\],\n\r]"""
     return f"""CASE WHEN {x} IS NULL THEN 'null' WHEN {x} <> '' AND {x} NOT IN ('true','false','null') AND NOT regexp_matches({x}, '^[0-9+.-]') AND NOT regexp_matches({x}, '{unsafe}') THEN {x} ELSE '"' || {_sql_escape(x)} || '"' END"""
 
 
@@ -283,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
         "list_encode_orders_by_customer": "SELECT o_custkey, 'orders[' || count(*) || ']: ' || string_agg(o_orderkey::VARCHAR, ', ' ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey",
         "prim_classify_events_props": "SELECT event_id, 'k' AS key, 'int' AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS v_int FROM events",
         "prim_parse_words": "SELECT * FROM (SELECT 'int' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'str', 2 * count(*) FROM orders UNION ALL SELECT 'float', count(*) FROM orders UNION ALL SELECT 'null', count(*) FROM orders UNION ALL SELECT 'bool', count(*) FROM orders)",
-        "url_quote_pages": f"""SELECT page_id, {_sql_string('url')} AS quoted, CASE WHEN regexp_matches(url, '[ \\t:"\\\;@#{{}}\\[\\],]') OR url = '' THEN '"' || {_sql_escape('url')} || '"' ELSE url END AS as_key FROM pages""",
+        "url_quote_pages": f"""SELECT page_id, {_sql_string('url')} AS quoted, CASE WHEN regexp_matches(url, '[ \\t:"\\\\;@#{{}}\\[\\],]') OR url = '' THEN '"' || {_sql_escape('url')} || '"' ELSE url END AS as_key FROM pages""",
         "escape_round_trip_documents": "SELECT doc_id, text FROM documents",
         "minify_nation_doc": f"SELECT n_regionkey, {minified} AS minified FROM nation GROUP BY n_regionkey",
         "expand_minified": f"SELECT n_regionkey, {nation_text} AS text FROM nation GROUP BY n_regionkey",
