@@ -140,7 +140,7 @@ def sample_places(docs: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, np
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with ``lang_pred`` and ``score``."""
+    """docs with ``lang_pred`` and ``score``, which replace columns of these names."""
     scratch.bounded_batches(docs.sparkSession)
     kind = "struct<lang_pred:string,score:double>"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x COLUMNS numbers at most
@@ -150,7 +150,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         names, scores = shared.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn("_lang", score(F.col(f"`{text}`"))).select("*", "_lang.lang_pred", "_lang.score").drop("_lang")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, score(F.col(f"`{text}`")).alias("_lang")).select(*kept, "_lang.lang_pred", "_lang.score")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

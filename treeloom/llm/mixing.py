@@ -13,7 +13,7 @@ The labelled sample has about TRAIN_ROWS rows, the only thing broadcast. Only bu
 
 Null text has no words: its posterior is that of a document without marks, its weight is 0.
 Documents without labels, and labels without documents, are fine; labels with a null id or domain
-are ignored. Without any label every rate is 1. Extra columns pass through.
+are ignored. Without any label, or any telling word, every rate is 1. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -182,7 +182,8 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     targets = targets or TARGETS
     mixer = train(docs, label_domains(labels), list(targets), doc_id=doc_id)
     measured = Scratch(docs.sparkSession, "mixing").save(measure(docs.select(doc_id, "text"), mixer).select(doc_id, "p", "n"), "measured")
-    fit_rates(measured, mixer, targets)
+    if mixer.weights:  # nothing tells the domains apart otherwise
+        fit_rates(measured, mixer, targets)
     return mixer, measured
 
 

@@ -155,11 +155,17 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", precision: f
 
 
 def find_pii(docs: DataFrame, model: boosting.Model, least: float, text: str = "text", into: str = "pii") -> DataFrame:
-    """docs with an array of (kind, start, end): fixed spans, then likely ones."""
-    found = _found(docs, text)
+    """docs with an array of (kind, start, end): fixed spans, then likely ones.
+
+    A column of docs that is named like the array is replaced.
+    """
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").alias("_text"))
+    found = _found(inside, "_text")
     chosen = F.filter("_cand", lambda c: (model.expression(c["mask"]) >= F.lit(least)) & ~_confirmed(c, F.col("_base")))
     likely = F.array_sort(F.array_distinct(F.transform(chosen, lambda c: F.struct(F.lit(EXTRA).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))
-    return found.withColumn(into, F.concat(F.col("_base"), likely)).drop("_base", "_cand")
+    spans = F.concat(F.col("_base"), likely)
+    kept = [spans.alias(c) if c == into else F.col(f"_doc.`{c}`") for c in docs.columns]
+    return found.select(*kept, *([] if into in docs.columns else [spans.alias(into)]))
 
 
 def _joined(spans: Column) -> Column:

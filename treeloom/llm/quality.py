@@ -114,9 +114,13 @@ def measurements(text: Column) -> Column:
 
 
 def ledger(docs: DataFrame, text: str = "text", into: str = "_ledger") -> DataFrame:
-    """docs with a struct column of the measurements and ``bits``, the failed rules."""
+    """docs with a struct column of the measurements and ``bits``, the failed rules.
+
+    A column of docs that is named like the struct is left out.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != into]
     # A generator is evaluated once; a filter on a plain column would be pushed down and repeat it.
-    measured = docs.select("*", F.explode(F.array(measurements(F.col(f"`{text}`")))).alias(into))
+    measured = docs.select(*kept, F.explode(F.array(measurements(F.col(f"`{text}`")))).alias(into))
     bits = F.lit(0).cast("long")
     fields = [f.name for f in measured.schema[into].dataType.fields]
     for i, (_, failing) in enumerate(RULES):
@@ -140,7 +144,8 @@ def passes(bits: Column, policy: str = DEFAULT_POLICY) -> Column:
 
 def apply_policy(docs: DataFrame, policy: str = DEFAULT_POLICY, text: str = "text") -> DataFrame:
     """The documents a policy keeps, with docs' own columns."""
-    return ledger(docs, text).where(passes(F.col("_ledger.bits"), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").alias("_text"))
+    return ledger(inside, "_text").where(passes(F.col("_ledger.bits"), policy)).select("_doc.*")
 
 
 def ablation(ledgers: DataFrame, policy: str = DEFAULT_POLICY, into: str = "_ledger") -> DataFrame:

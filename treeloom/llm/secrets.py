@@ -96,30 +96,27 @@ def _scan(texts: pa.Array) -> pa.Array:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
-    """docs with an array of the spans found in each text."""
+    """docs with an array of the spans found in each text; a column named like it is replaced."""
     scratch.bounded_batches(docs.sparkSession)
     return docs.withColumn(into, _scan(F.col(f"`{text}`")))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced; ``n_chars``, where there is one, follows."""
-    found = find_secrets(docs, text, "_secrets")
-    cut = lambda s, a, b: F.substring(s, a + 1, b - a)
-    t = F.col(f"`{text}`")
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").alias("_text"))
+    found = find_secrets(inside, "_text", "_secrets")
+    t, any_ = F.col("_text"), F.size("_secrets") > 0
+    cut = lambda a, b: F.substring(t, a.cast("int") + 1, (b - a).cast("int"))
     # Spans come by start: what overlaps the part already replaced only extends it.
     done = F.aggregate(
         "_secrets",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, x: F.struct(
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], cut(t, acc["at"].cast("int"), x["start"].cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], x["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.length(t))),
+        lambda acc, x: F.struct(F.when(x["start"] >= acc["at"], F.concat(acc["out"], cut(acc["at"], x["start"]), F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["end"]).alias("at")),
+        lambda acc: F.concat(acc["out"], cut(acc["at"], F.length(t).cast("long"))),
     )
-    out = found.withColumn(text, F.when(F.size("_secrets") > 0, done).otherwise(t))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length(F.col(f"`{text}`")).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    new = found.withColumn("_new", F.when(any_, done).otherwise(t))
+    of = lambda c: F.col("_new") if c == text else F.when(any_, F.length("_new").cast("long")).otherwise(F.col("_doc.n_chars")) if c == "n_chars" else F.col(f"_doc.`{c}`")
+    return new.select(*[of(c).alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
