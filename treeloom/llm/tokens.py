@@ -96,15 +96,19 @@ class ChunkTokenizer:
     def _known(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of distinct chunks, encoding those not met lately."""
         young, old = self.young, self.old
-        new = [c for c in chunks if c not in young and c not in old]
-        for at in range(0, len(new), 4096):
-            young.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096]), strict=True))
-        out = []
-        for c in chunks:
-            ids = young.get(c)
+        out, new = list(map(young.get, chunks)), []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            ids = old.get(chunks[k])
             if ids is None:
-                ids = young[c] = old[c]
-            out.append(ids)
+                new.append(k)
+            else:
+                out[k] = young[chunks[k]] = ids
+        for at in range(0, len(new), 4096):
+            part = [chunks[k] for k in new[at : at + 4096]]
+            found = self._encode(part)
+            young.update(zip(part, found, strict=True))
+            for k, ids in zip(new[at : at + 4096], found, strict=True):
+                out[k] = ids
         if len(young) > CACHE_CHUNKS:
             self.old = {c: v for c, v in young.items() if len(c) <= CACHE_LONGEST}
             self.young = {}
