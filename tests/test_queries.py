@@ -53,7 +53,7 @@ def test_native_doubles_follow_the_kernel(spark):
 
 
 def test_native_minify_follows_the_kernel(spark):
-    texts = [write({"a": {"b": {"c": 1}}, "d": [{"x": 1, "y": "p q"}] * 2, "e": [1, {"k": [1]}]}, indent=i) for i in (1, 2)] + ["# note\na: 1\n\nb:\n  c: 2\nd: 3", "", "#!scon/1\nx: 1"]
+    texts = [write({"a": {"b": {"c": 1}}, "d": [{"x": 1, "y": "p q"}] * 2, "e": [1, {"k": [1]}]}, indent=i) for i in (1, 2)] + ["# note\na: 1\n\nb:\n  c: 2\nd: 3", "", "#!form/1\nx: 1"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", native.minify(F.col("t")).alias("m")).collect():
         assert r["m"] == minify(r["t"])

@@ -148,7 +148,7 @@ def minify(text: Column) -> Column:
     blank = rf"^[{lex.BLANK}]+|[{lex.BLANK}]+$"
     blanks = lambda s: F.length(s) - F.length(F.ltrim(s))
     shown = F.transform(lines, lambda s: F.struct(F.regexp_replace(s, blank, "").alias("body"), blanks(s).alias("blanks")))
-    directive = r"^#!scon/"  # fixed: the notation's own directive
+    directive = r"^#![a-z]+/"
     kept = F.filter(shown, lambda x: (x["body"] != "") & (~x["body"].startswith("#") | x["body"].rlike(directive)))
 
     def joined(rows: Column, step: Column) -> Column:

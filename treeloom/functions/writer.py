@@ -13,6 +13,10 @@ from treeloom.functions import lexical as lex
 from treeloom.functions import trees
 
 
+#: Comment lines of this form are directives, which minified text keeps.
+DIRECTIVE = re.compile(r"#![a-z]+/")
+
+
 def uniform_fields(items: list) -> list[str] | None:
     """The columns of a list of objects with the same keys and primitive values."""
     if not items or not all(isinstance(x, dict) and x for x in items):
@@ -162,7 +166,7 @@ def minify(text: str) -> str:
     for line in physical_lines(text):
         body = lex.strip(line)
         if not body or body[0] == "#":
-            if body.startswith("#!scon/"):  # fixed: the notation's own directive
+            if DIRECTIVE.match(body):
                 out.append(body + ";")
             continue
         depth = (len(line) - len(line.lstrip(" "))) // step
