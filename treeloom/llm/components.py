@@ -128,12 +128,12 @@ def spanning_links(members: DataFrame, adjacency: Callable[[list[bytes], list[by
                 np.fill_diagonal(linked, False)
             label = np.arange(len(node))
             for r in np.flatnonzero(linked.any(1)):
-                i = rows[r]
-                for j in columns[linked[r]]:
-                    if label[i] != label[j]:
-                        a.append(int(node[i]))
-                        b.append(int(node[j]))
-                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+                i, left = rows[r], columns[linked[r]]
+                while len(left := left[label[left] != label[i]]):  # a turn for every join, not every link
+                    j = left[0]
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return _deal(members, scratch, block).groupBy("bin", "i", "j").applyInArrow(compare, "a long, b long")

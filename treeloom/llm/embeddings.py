@@ -86,12 +86,11 @@ def _leaf_links(ids: np.ndarray, v: np.ndarray, cosine: float, rng: np.random.Ge
     for start in range(0, n, LEAF):  # every pair of the leaf, a block of rows at a time
         linked = v[start : start + LEAF] @ v.T >= cosine
         for k in np.flatnonzero(linked.sum(1) > 1):
-            i = start + int(k)
-            for j in np.flatnonzero(linked[k]):
-                a, b = label[i], label[j]
-                if a != b:
-                    out.append((int(ids[i]), int(ids[j])))
-                    label[label == max(a, b)] = min(a, b)
+            i, left = start + int(k), np.flatnonzero(linked[k])
+            while len(left := left[label[left] != label[i]]):  # a turn for every join, not every link
+                j = left[0]
+                out.append((int(ids[i]), int(ids[j])))
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
     return out
 
 
