@@ -38,7 +38,7 @@ _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uin
 
 
 def ngram_places(text: str) -> np.ndarray:
-    """Bitmap of the places of the text's n-grams; runs of digits and blanks count alike."""
+    """Bitmap of the places of the text's n-grams, in lower case."""
     seen = np.zeros(1 << HASH_BITS, np.bool_)
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     if not len(points):

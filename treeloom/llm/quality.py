@@ -7,12 +7,14 @@ rule rejects alone and what a policy would keep without it.
 
 All of it is built-in column expressions inside one projection: no shuffle, no Python.
 Null text counts as empty: no words, so every document with it fails ``few_words``.
-Empty tables give empty ledgers; extra columns pass through ``apply_policy`` callers untouched
-because the ledger only adds columns under the names it documents.
+Repeated rows are judged alike, empty tables give empty ledgers, and extra columns of any name
+pass through ``apply_policy``.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +134,6 @@ def ledger(docs: DataFrame, text: str = "text", into: str = "_ledger") -> DataFr
 
 
 def _qualify(condition: str, name: str, into: str) -> str:
-    import re
-
     return re.sub(rf"(?<![\w.]){name}(?!\w)", f"{into}.{name}", condition)
 
 

@@ -12,7 +12,9 @@ Extra columns pass through; the operator adds one column, ``secrets``.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 
 import pyarrow as pa
@@ -74,9 +76,11 @@ def scan(text: str | None, identifiers: str = IDENTIFIERS, novel_bits: float = N
     # A long hex string lies within one candidate, so only those are searched.
     found += [("hex", m.start(), m.end()) for t in tokens for m in hexes.finditer(text, t.start(), t.end())]
     base = sorted((s, e) for _, s, e in found)
+    starts, reach = [s for s, _ in base], list(itertools.accumulate((e for _, e in base), max))
     for t in tokens:
         s, e, word = t.start(), t.end(), t[0]
-        if any(a < e and s < b for a, b in base) or not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
+        before = bisect.bisect_left(starts, e)  # fixed spans that begin before this ends
+        if (before and reach[before - 1] > s) or not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
             continue
         if not sensitive.search(text, max(0, s - CONTEXT_BEFORE), s):
             continue
