@@ -318,6 +318,20 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_of_a_hot_region(spark):
+    """A third of the rows lie close together, where splits part links most; recall must hold there too."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: embeddings.unit(rng.standard_normal((n, 64)))
+    hot = embeddings.unit(np.sqrt(0.76) * draw(1) + np.sqrt(0.24) * draw(8000))
+    hot[800:1600] = embeddings.unit(0.92 * hot[:800] + 0.39 * embeddings.unit(0.6 * embeddings.unit(hot[1600:2400] - hot[:800]) + 0.4 * draw(800)))
+    v = np.concatenate([hot, draw(16_000)])
+    v = [v[i].tolist() for i in rng.permutation(len(v))]
+    unit = np.array(v)
+    linked = np.concatenate([(unit[k : k + 2000] @ unit.T >= 0.9).sum(1) - 1 for k in range(0, len(v), 2000)])
+    out = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")).collect()}
+    assert linked.sum() > 1000 and sum(out.values()) >= 0.98 * linked.sum() and all(out[i] <= n for i, n in enumerate(linked))
+
+
 def test_mixing(spark, docs, nothing):
     rows = [(i, ("idiot scum " if i % 4 == 0 else "") + "kind words that say a little about day " * 4 + str(i)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
