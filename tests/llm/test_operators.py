@@ -258,6 +258,25 @@ def test_pii(spark, docs, nothing):
     assert pii.find_pii(nothing, *pii.train(nothing)).count() == 0
 
 
+def test_pii_beyond_the_fixed_patterns(spark):
+    """Cards beside other numbers and spelled-out addresses look like confirmed spans but for their marks."""
+    rng = np.random.default_rng(13)
+
+    def card():
+        d = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    rows = [f"say pay by card {card()} now" for _ in range(300)] + [f"write to mail user{i}@host{i}.example today" for i in range(300)]
+    rows += [f"order {rng.integers(10**8, 10**9)} shipped, part {rng.integers(10**15, 10**16)}" for _ in range(300)] + ["see x@y or z@w there"] * 100
+    first, second = card(), card()
+    grouped = " ".join(first[k : k + 4] for k in range(0, 16, 4))
+    hidden = {"pair": f"pay by card {first} {second} now", "groups": f"pay by card 1234 {grouped} now", "spelled": "write to mail jo.doe(at)host.example today", "plain": "look (at) this"}
+    df = spark.createDataFrame(list(enumerate([*rows, *hidden.values()])), "doc_id long, text string")
+    found = {r["text"]: {r["text"][s["start"] : s["end"]] for s in r["pii"] if s["kind"] == pii.EXTRA} for r in pii.find_pii(df, *pii.train(df)).collect()}
+    assert {first, second} <= found[hidden["pair"]] and grouped in found[hidden["groups"]]
+    assert found[hidden["spelled"]] == {"jo.doe(at)host.example"} and not found[hidden["plain"]]
+
+
 def test_boosting():
     rng = np.random.default_rng(6)
     masks = np.arange(32)

@@ -2,10 +2,13 @@
 
 Fixed patterns find e-mail addresses, IP addresses, payment cards and phone numbers; their
 checks (octet range, Luhn, digit counts) drop matches without retrying. Beside them, broad
-generators propose overlapping number-like and address-like spans. Format and context make a
-bit pattern of each candidate; boosted trees learn from all documents which patterns mark
-spans that the fixed patterns confirm, and a threshold calibrated on a held-out fold selects
-further spans that look the same but that no fixed pattern covers.
+generators propose overlapping number-like and address-like spans, among them every Luhn-valid
+row of groups inside a longer number and phones without their prefix. Format and context make a
+bit pattern of each candidate, in which the marks that the fixed patterns ask for ("@", "+") do
+not show; boosted trees learn from all documents which patterns mark spans that the fixed
+patterns confirm, and a threshold calibrated on a held-out fold selects further spans that look
+the same but that no fixed pattern covers. Candidates that no fixed pattern could confirm as they
+stand (spelled-out addresses, parts of a longer number) are no examples, only selected from.
 
 Only built-in expressions are used. Spark gives matches without positions, so positions come
 from the lengths of what ``split`` leaves between them. The patterns below are possessive
@@ -33,6 +36,11 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[
 
 NUMBER_LIKE = r"(?<![0-9])[0-9](?:[\x20().-]{0,2}+[0-9]){6,40}+"
 ADDRESS_LIKE = r"[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9][A-Za-z0-9.-]*+"
+PHONE_LIKE = r"(?<![0-9])\(?[0-9]{2,5}\)?[\x20.-]?[0-9]{2,4}[\x20.-][0-9]{3,5}(?![0-9])"
+#: Numbers long enough for a card, and how many of their groups in a row may be one.
+CARD_RUN = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+"
+CARD_GROUPS = 5
+SPELLED = r"[(\[]at[)\]]"
 CONTEXT = 24
 HINTS = r"(?i)phone|tel|call|fax|card|visa|pay|mail|contact|write|address|host|server|ssn|passport|account"
 #: Share of held-out selections that fixed patterns must confirm.
@@ -41,8 +49,8 @@ FOLDS = 5
 
 #: The bits of a candidate's pattern over hit, before, after, digits; in order.
 FEATURES = {
-    "has_at": lambda c: F.contains(c["hit"], F.lit("@")),
-    "spelled_at": lambda c: c["hit"].rlike(r"[(\[]at[)\]]"),
+    "address": lambda c: c["hit"].rlike(rf"@|{SPELLED}"),
+    "domain": lambda c: c["hit"].rlike(rf"(?:@|{SPELLED})\x20?[A-Za-z0-9-]+\.[A-Za-z0-9]"),
     "digits_8": lambda c: c["digits"] >= 8,
     "digits_12": lambda c: c["digits"] >= 12,
     "digits_16": lambda c: c["digits"] >= 16,
@@ -50,7 +58,6 @@ FEATURES = {
     "has_dot": lambda c: F.contains(c["hit"], F.lit(".")),
     "three_dots": lambda c: c["hit"].rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"),
     "grouped": lambda c: c["hit"].rlike(r"[\x20()-]"),
-    "after_plus": lambda c: c["before"].endswith("+"),
     "luhn": lambda c: (c["digits"].between(13, 19)) & luhn(_digits(c["hit"])),
     "hinted": lambda c: c["before"].rlike(HINTS),
     "glued": lambda c: c["before"].rlike(r"[A-Za-z0-9_./-]$") | c["after"].rlike(r"^[A-Za-z0-9_/]"),
@@ -114,8 +121,39 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(kept, KINDS))
 
 
+def _card_parts(text: Column) -> Column:
+    """Array like that of _matches: the rows of up to CARD_GROUPS groups inside long numbers that pass as cards."""
+    nothing = F.array().cast("array<struct<hit:string,before:string,after:string,start:int,end:int>>")
+
+    def parts(run: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["at"] + F.length(x)
+
+            def grown(recent: Column) -> Column:
+                def one(n: Column) -> Column:
+                    hit = F.array_join(F.slice(recent, -n, n), "")  # groups without the separator between them
+                    start = end - F.length(hit) - n + 1
+                    before = F.substring(text, F.greatest(F.lit(1), start - CONTEXT + 1), F.least(F.lit(CONTEXT), start))
+                    return F.struct(F.substring(text, start + 1, end - start).alias("hit"), before.alias("before"), F.substring(text, end + 1, F.lit(CONTEXT)).alias("after"), start.alias("start"), end.alias("end"))
+
+                counts = F.filter(F.sequence(F.lit(1), F.size(recent)), lambda n: _let(F.array_join(F.slice(recent, -n, n), ""), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False))))
+                return F.struct((end + 1).alias("at"), recent.alias("recent"), F.concat(acc["out"], F.transform(counts, one)).alias("out"))
+
+            # The last groups only, so time is linear in the number.
+            held = F.concat(acc["recent"], F.array(x))
+            return _let(F.when(F.size(held) > CARD_GROUPS, F.slice(held, 2, CARD_GROUPS)).otherwise(held), grown)
+
+        first = F.struct(run["start"].alias("at"), F.array().cast("array<string>").alias("recent"), nothing.alias("out"))
+        return F.aggregate(F.split(run["hit"], r"[\x20-]"), first, step, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(_matches(text, CARD_RUN), parts))
+
+
 def candidates(text: Column) -> Column:
-    """Array of (start, end, mask) from the broad generators; they may overlap."""
+    """Array of (start, end, mask, blind) from the broad generators; they may overlap.
+
+    Blind ones are those that no fixed pattern could confirm as they stand.
+    """
     sign = F.contains(text, F.lit("@")) | F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]"))
     addresses = F.when(sign, _matches(text, ADDRESS_LIKE)).otherwise(F.array().cast("array<struct<hit:string,before:string,after:string,start:int,end:int>>"))
 
@@ -130,7 +168,16 @@ def candidates(text: Column) -> Column:
 
         return _let(F.length(_digits(x["hit"])), bits)
 
-    return F.transform(F.concat(_matches(text, NUMBER_LIKE), addresses), lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), pattern(x).alias("mask")))
+    def proposed(found: Column, blind) -> Column:
+        return F.transform(found, lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), pattern(x).alias("mask"), blind(x).alias("blind")))
+
+    seen = lambda _: F.lit(False)
+    return F.concat(
+        proposed(_matches(text, NUMBER_LIKE), seen),
+        proposed(_matches(text, PHONE_LIKE), seen),
+        proposed(_card_parts(text), lambda _: F.lit(True)),
+        proposed(addresses, lambda x: x["hit"].rlike(SPELLED)),
+    )
 
 
 def _found(docs: DataFrame, text: str) -> DataFrame:
@@ -145,7 +192,7 @@ def _confirmed(c: Column, base: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", precision: float = PRECISION) -> tuple[boosting.Model, float]:
     """Trees and threshold, from the counts of every candidate's pattern in docs."""
     rows = _found(docs.select(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(FOLDS)).alias("fold"), F.col(f"`{text}`").alias("text")), "text")
-    each = rows.select("fold", F.explode(F.transform("_cand", lambda c: F.struct(c["mask"].alias("mask"), _confirmed(c, F.col("_base")).alias("yes")))).alias("c"))
+    each = rows.select("fold", F.explode(F.transform(F.filter("_cand", lambda c: ~c["blind"]), lambda c: F.struct(c["mask"].alias("mask"), _confirmed(c, F.col("_base")).alias("yes")))).alias("c"))
     counts = each.groupBy("c.mask", (F.col("fold") == 0).alias("held")).agg(F.sum(F.col("c.yes").cast("long")).alias("yes"), F.count("*").alias("n")).orderBy("mask", "held").collect()  # at most 2^(BITS + 1) rows
     part = lambda held: [np.array(x, dtype) for x, dtype in zip(zip(*[(r["mask"], r["yes"], r["n"] - r["yes"]) for r in counts if r["held"] == held], strict=True), (np.int64, float, float), strict=False)] or [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
     masks, yes, no = part(False)
