@@ -318,6 +318,23 @@ def test_repeats(spark, docs, nothing):
     assert next(r for r in out if r[0] is None)[2] == 0 and substrings.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_of_contexts_with_half_a_hash_in_common(spark):
+    """Two contexts of one k-gram whose run hashes agree in their upper 32 bits are different texts."""
+    rng = np.random.default_rng(14)
+    letters = lambda *shape: rng.integers(97, 123, shape).astype(np.uint8)
+    grams = letters(200_000, 20)
+    least = grams[substrings.Hashes(grams.ravel()).grams(20)[::20].argmin()]  # stands for any window it is in
+    texts = np.concatenate([letters(400_000, 15), np.tile(least, (400_000, 1)), letters(400_000, 15)], 1)
+    at = 50 * np.arange(len(texts))
+    half = substrings.Hashes(texts.ravel())(at, at + 50) >> np.uint64(32)
+    order = np.argsort(half)
+    same = np.flatnonzero(half[order][1:] == half[order][:-1])
+    rows = [(2 * k + j, texts[order[i + j]].tobytes().decode()) for k, i in enumerate(same) for j in (0, 1)]
+    assert rows
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({t for _, t in rows}) == len(rows) and all(r["n_removed"] == 0 for r in out)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((30, 16))

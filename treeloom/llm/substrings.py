@@ -15,8 +15,8 @@ suffixes that start at representatives, about one byte in sixteen, need sorting.
 
 Before each shuffle a batch resolves what repeats inside it: only the smallest document of a
 string stays as a source, so a string in a third of all documents sends a row per batch.
-Strings are compared by their first eight bytes and 64 bits of hash (stage 1: 32 for the k-gram
-and 32 for the run); documents by id.
+Strings are compared by their first eight bytes and 64 bits of hash (stage 1: 64 for the k-gram
+and 64 more for the run); documents by id.
 
 Null text is empty. Rows with a null id keep everything and remove nothing. Rows that repeat an
 id and text get the same result each; ids must otherwise be unique. Extra columns are ignored.
@@ -42,7 +42,8 @@ GRAM = 20
 SLICE = 1 << 18
 #: Windows of a key expanded at a time.
 PART = 150_000
-ROWS = "lead long, h long, doc long, at long"
+ROWS = "lead long, h long, run long, doc long, at long"
+OPEN = "lead long, h long, doc long, at long, cut binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 _rng = np.random.default_rng(9)
@@ -121,7 +122,7 @@ def _slices(raw: np.ndarray, bounds: np.ndarray, length: int):
 
 
 def runs(raw: np.ndarray, valid: np.ndarray, length: int, gram: int):
-    """Runs of windows with one representative: (first window, windows, lead, hash)."""
+    """Runs of windows with one representative: (first window, windows, lead, hash of the k-gram, of the run)."""
     h = Hashes(raw)
     grams = h.grams(gram)
     keys = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
@@ -133,25 +134,24 @@ def runs(raw: np.ndarray, valid: np.ndarray, length: int, gram: int):
     keep = least[first] >= 0
     first, last = first[keep], last[keep]
     anchor = least[first]
-    rest = h(anchor, anchor + gram) >> np.uint64(32) << np.uint64(32)
     whole = h(first, last + length - 1) ^ (last - first).astype(np.uint64)
-    return first, last - first, _leads(raw, anchor), (rest | (whole >> np.uint64(32))).view(np.int64)
+    return first, last - first, _leads(raw, anchor), h(anchor, anchor + gram).view(np.int64), whole.view(np.int64)
 
 
-def _combine(lead: np.ndarray, h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+def _combine(lead: np.ndarray, h: np.ndarray, run: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Resolve repeats inside a batch: larger documents' rows become spans (lowest bit of at set).
 
     Spans need no comparison, so they are dealt by a hash of their own.
     """
-    order = np.lexsort((doc, h, lead))
-    lead, h, doc, at = lead[order], h[order], doc[order], at[order]
-    new = np.append(True, (lead[1:] != lead[:-1]) | (h[1:] != h[:-1]))
+    order = np.lexsort((doc, run, h, lead))
+    lead, h, run, doc, at = lead[order], h[order], run[order], doc[order], at[order]
+    new = np.append(True, (lead[1:] != lead[:-1]) | (h[1:] != h[:-1]) | (run[1:] != run[:-1]))
     least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(doc) else doc
     done = doc > least
     mixed = ((doc[done].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at[done].astype(np.uint64)) * _MIX).view(np.int64)
-    lead[done], h[done] = mixed, mixed
+    lead[done], h[done], run[done] = mixed, mixed, mixed
     at[done] |= 1
-    return lead, h, doc, at
+    return lead, h, run, doc, at
 
 
 def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +161,8 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), bounds
 
 
-def _batch(lead, h, doc, at) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in (lead, h, doc, at)], names=["lead", "h", "doc", "at"])
+def _batch(lead, h, run, doc, at) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in (lead, h, run, doc, at)], names=["lead", "h", "run", "doc", "at"])
 
 
 def _suffixes(length: int, gram: int):
@@ -172,9 +172,9 @@ def _suffixes(length: int, gram: int):
             raw, bounds = _buffer(b.column(1))
             found = []
             for s, part, valid in _slices(raw, bounds, length):
-                first, n, lead, h = runs(part, valid, length, gram)
+                first, n, lead, h, whole = runs(part, valid, length, gram)
                 row = np.searchsorted(bounds, first + s, "right") - 1
-                found.append((lead, h, ids[row], ((first + s - bounds[row]) << 8) | (n << 1)))
+                found.append((lead, h, whole, ids[row], ((first + s - bounds[row]) << 8) | (n << 1)))
             if found:
                 yield _batch(*_combine(*map(np.concatenate, zip(*found, strict=True))))
 
@@ -339,13 +339,13 @@ def _neighbours(batches):
     def settle(rows: list[np.ndarray], new: np.ndarray, count: int, last: bool, before: tuple | None):
         """The rows of the first count groups; new holds where groups start."""
         end = new[count] if count < len(new) else len(rows[0])
-        doc, at = rows[2][:end], rows[3][:end]
+        doc, at = rows[3][:end], rows[4][:end]
         starts = new[:count]
         group = np.repeat(np.arange(count), np.diff(np.append(starts, end)))
         gone = (at & 1).astype(bool) | (doc > doc[starts][group])
         yield from _pairs(doc[gone], at[gone] | 1)
         every = new[: count + 1]
-        gl, gh = rows[0][every], rows[1][every] >> 32
+        gl, gh = rows[0][every], rows[1][every]
         same = (gl[1:] == gl[:-1]) & (gh[1:] == gh[:-1])
         unsure = np.zeros(len(every), bool)
         unsure[1:] |= same
@@ -360,12 +360,12 @@ def _neighbours(batches):
         rows = [c.to_numpy() for c in b.columns]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        lead, h = rows[0], rows[1]
-        new = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (h[1:] != h[:-1])))
+        lead, h, run = rows[:3]
+        new = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (h[1:] != h[:-1]) | (run[1:] != run[:-1])))
         held = rows
         if len(lead) and len(new) > 1:  # the last group waits, as more of its rows may follow
             yield from settle(rows, new, len(new) - 1, False, before)
-            before = int(lead[new[-2]]), int(h[new[-2]] >> 32)
+            before = int(lead[new[-2]]), int(h[new[-2]])
             held = [x[new[-1] :] for x in rows]
     if held is not None and len(held[0]):
         yield from settle(held, np.zeros(1, np.int64), 1, True, before)
@@ -378,7 +378,7 @@ def _pairs(doc: np.ndarray, at: np.ndarray):
 
 def _sorted_pairs(rows: DataFrame) -> DataFrame:
     """Range-partition by sampled splitters, sort each bucket by several keys, compare neighbours."""
-    return rows.repartitionByRange("lead", "h").sortWithinPartitions("lead", "h", "doc").mapInArrow(_neighbours, "doc long, at long")
+    return rows.repartitionByRange("lead", "h", "run").sortWithinPartitions("lead", "h", "run", "doc").mapInArrow(_neighbours, "doc long, at long")
 
 
 def _packed(batches):
@@ -434,7 +434,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
 
     unsure = marks.where("at & 1 = 0").groupBy("doc").agg(F.collect_list("at").alias("at"))
     looked = known.mapInArrow(_packed, "doc_id long, packed binary").join(unsure.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id")
-    open_ = looked.select("doc_id", "packed", "at").mapInArrow(_contexts(length, gram), ROWS + ", cut binary")
+    open_ = looked.select("doc_id", "packed", "at").mapInArrow(_contexts(length, gram), OPEN)
     dealt = open_.repartitionByRange("lead", "h").sortWithinPartitions("lead", "h")
     single = scratch.save(dealt.mapInArrow(_compare_contexts(length), "doc long, at long"), "windows")
     release_shuffles(spark)
