@@ -319,22 +319,47 @@ def test_repeats(spark, docs, nothing):
 
 
 def test_repeats_of_contexts_with_half_a_hash_in_common(spark):
-    """Two contexts of one k-gram whose run hashes agree in their upper 32 bits are different texts."""
+    """Two contexts of one k-gram whose run hashes agree in 32 bits are different texts."""
     rng = np.random.default_rng(14)
     letters = lambda *shape: rng.integers(97, 123, shape).astype(np.uint8)
     grams = letters(200_000, 20)
     least = grams[substrings.Hashes(grams.ravel()).grams(20)[::20].argmin()]  # stands for any window it is in
     texts = np.concatenate([letters(400_000, 15), np.tile(least, (400_000, 1)), letters(400_000, 15)], 1)
     at = 50 * np.arange(len(texts))
-    half = substrings.Hashes(texts.ravel())(at, at + 50) >> np.uint64(32)
-    order = np.argsort(half)
-    same = np.flatnonzero(half[order][1:] == half[order][:-1])
-    rows = [(2 * k + j, texts[order[i + j]].tobytes().decode()) for k, i in enumerate(same) for j in (0, 1)]
-    assert rows
+    rows = []
+    for half in (substrings.Hashes(texts.ravel())(at, at + 50) >> np.uint64(32), substrings.Hashes(texts.ravel(), 1)(at, at + 50) >> np.uint64(32)):
+        order = np.argsort(half)
+        same = np.flatnonzero(half[order][1:] == half[order][:-1])
+        rows += [(len(rows) + 2 * k + j, texts[order[i + j]].tobytes().decode()) for k, i in enumerate(same) for j in (0, 1)]
+        assert len(same)
     out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({t for _, t in rows}) == len(rows) and all(r["n_removed"] == 0 for r in out)
 
 
+def test_repeats_of_a_frequent_gram(spark):
+    """One k-gram in every document, with contexts that share windows across parts, buckets and steps."""
+    rng = np.random.default_rng(15)
+    letters = lambda n: rng.integers(97, 99, n).astype(np.uint8).tobytes()
+    gram = rng.integers(97, 123, (50_000, 20)).astype(np.uint8)
+    least = gram[substrings.Hashes(gram.ravel()).grams(20)[::20].argmin()].tobytes()
+    rows = {i: letters(rng.integers(0, 60)) + least + letters(rng.integers(0, 60)) for i in range(1500)}
+    rows |= {2000 + i: b"q" * 25 + least + bytes([97 + i % 26]) * 4 + letters(26) for i in range(300)}
+    df = spark.createDataFrame([(i, t.decode()) for i, t in rows.items()], "doc_id long, text string").repartition(7)
+    want = brute_repeats(rows)
+    for stretches in (5, substrings.STRETCHES):
+        assert {r["doc_id"]: tuple(r)[1:5] for r in substrings.remove_repeats(df, stretches=stretches).collect()} == want
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(16)
+    for length in (8, 11, 50):
+        raw = rng.integers(0, 2, 3000).astype(np.uint8) * 255
+        p = rng.integers(0, len(raw) - length, 2000)
+        order, new = substrings.multikey_quicksort(substrings._eights(raw), p, length)
+        strings = [raw[x : x + length].tobytes() for x in p[order]]
+        assert strings == sorted(strings) and new.tolist() == [True] + [a != b for a, b in zip(strings, strings[1:], strict=False)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((30, 16))

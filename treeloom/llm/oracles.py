@@ -53,5 +53,21 @@ def embedding_neardup() -> str:
     FROM (SELECT id, min(r) AS component_id FROM reach GROUP BY id) k LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) d ON d.a = k.id"""
 
 
+def repeats() -> str:
+    """All windows of 50 bytes, as hexadecimal digits; texts are cut in pieces first, as substr counts from the start."""
+    return """
+    WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+        c AS (SELECT doc_id, n, 1000 * k AS o, substr(x, 2000 * k + 1, 2098) AS piece FROM h, unnest(range(0, n // 1000 + 1)) u(k)),
+        w AS (SELECT doc_id, o + i AS p, substr(piece, 2 * i + 1, 100) AS s FROM c, unnest(range(0, 1000)) u(i) WHERE o + i + 50 <= n),
+        f AS (SELECT s, min(doc_id) AS d FROM w GROUP BY s),
+        g AS (SELECT DISTINCT w.doc_id, w.p FROM w JOIN f ON f.s = w.s WHERE w.doc_id > f.d),
+        m AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM g),
+        r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m) GROUP BY doc_id, run),
+        z AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM r),
+        k AS (SELECT z.doc_id, string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS rest, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed
+            FROM z JOIN h ON h.doc_id = z.doc_id GROUP BY z.doc_id)
+    SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256 FROM h LEFT JOIN k ON k.doc_id = h.doc_id"""
+
+
 def squeezed(sql: str) -> str:
     return re.sub(r"\s*\n\s*", "\n", sql).strip()

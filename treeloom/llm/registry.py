@@ -19,9 +19,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    """The rest is tested against brute force: tokenizers, models and byte offsets are beyond SQL."""
+    """The rest is tested against brute force: tokenizers and models are beyond SQL."""
     return {
         "op2_ngram_jaccard_join": oracles.squeezed(oracles.ngram_jaccard_join()),
         "op6_embedding_neardup": oracles.squeezed(oracles.embedding_neardup()),
         "op8_quality_rules": oracles.squeezed(oracles.quality_rules()),
+        "op9_suffix_array_dedup": oracles.squeezed(oracles.repeats()),
     }

@@ -7,16 +7,22 @@ executor, and unlike ``checkpoint()`` it is computed once and keeps a columnar s
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; a temporary one only on a local master without any (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
         folder = "file://" + tempfile.mkdtemp(prefix="treeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,9 +41,14 @@ class Scratch:
         return f"{self.root}/{self._n:03d}-{label}"
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
-        """Write df once and return the frame that reads it back."""
+        """Write df once and return the frame that reads it back; its shuffle files go as soon as it is written."""
         path = self.path(label)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN_SHUFFLES, "false")
+        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -55,21 +66,6 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that nothing refers to any more.
-
-    The cleaner follows the driver's garbage collector, which a small driver heap may not
-    run for the whole of a long job; asking for one between phases bounds the disk in use.
-    """
-    import gc
-    import time
-
-    for _ in range(2):  # the first collection lets go of frames, the second of what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 256, megabytes: int = 2) -> None:
     """Bound Arrow batches by rows and bytes: texts are of any length, workers are small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

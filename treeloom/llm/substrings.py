@@ -1,22 +1,25 @@
-"""Exact removal of repeated substrings with a sparse, distributed suffix array.
+"""Removal of repeated substrings with a sparse, distributed suffix array.
 
 A byte goes if a LENGTH-byte string that covers it also starts in a document with a smaller
 id. Every LENGTH-byte window is represented by its least k-gram (least by hash, leftmost):
 windows are equal only if they are represented by equal k-grams at equal offsets, so only
 suffixes that start at representatives, about one byte in sixteen, need sorting.
 
-1. Suffixes, with a hash of all windows each represents, are range-partitioned by sampled
-   splitters on their leading bytes and sorted in their bucket by several keys (leading bytes,
-   rest of the k-gram, whole run of windows, document). Equal runs are neighbours: all but the
-   smallest document's are removed whole.
+1. Suffixes, with fingerprints of all windows each represents, are range-partitioned by sampled
+   splitters on their leading bytes and sorted in their bucket (leading bytes, k-gram, run of
+   windows, document). Equal runs are neighbours: all but the smallest document's are removed
+   whole. Runs are told apart by eight raw bytes, 32 bits for the k-gram and 96 for the run.
 2. Runs that differ from a neighbour with the same k-gram, and those at either end of a bucket,
-   may still share single windows. Their windows are cut out of the texts and sorted in the
-   same way; neighbours are compared, and all but the smallest document's are removed.
+   may still share single windows. Their stretches of text are range-partitioned by k-gram and
+   bytes, so a frequent k-gram is dealt to many buckets. In a bucket the windows of each k-gram
+   are sorted by multikey quicksort on their bytes, eight at a time, and neighbours compared.
+3. A k-gram at either end of a bucket, or with more windows than a task sorts at once, may go on
+   elsewhere: what is left of its windows is range-partitioned by the windows' own bytes and
+   compared again, across those boundaries.
 
 Before each shuffle a batch resolves what repeats inside it: only the smallest document of a
 string stays as a source, so a string in a third of all documents sends a row per batch.
-Strings are compared by their first eight bytes and 64 bits of hash (stage 1: 64 for the k-gram
-and 64 more for the run); documents by id.
+Steps 2 and 3 compare bytes; step 1 compares the fingerprints named there.
 
 Null text is empty. Rows with a null id keep everything and remove nothing. Rows that repeat an
 id and text get the same result each; ids must otherwise be unique. Extra columns are ignored.
@@ -33,22 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm import tokens
-from treeloom.llm.scratch import Scratch, bounded_batches, release_shuffles
+from treeloom.llm.scratch import Scratch, bounded_batches
 
 LENGTH = 50
 #: Bytes of a representative; a window of LENGTH bytes has LENGTH - GRAM + 1 of them.
 GRAM = 20
 #: Windows handled at a time.
 SLICE = 1 << 18
-#: Windows of a key expanded at a time.
-PART = 150_000
+#: Windows sorted at a time, about; rows of one group of suffixes, and stretches of one k-gram, held at a time.
+PART, HELD, STRETCHES = 150_000, 200_000, 12_000
 ROWS = "lead long, h long, run long, doc long, at long"
 OPEN = "lead long, h long, doc long, at long, cut binary"
+SPANS = "doc long, at long, cut binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 _rng = np.random.default_rng(9)
-_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
-_BASE = int(_rng.integers(0, 1 << 61)) * 8 + 5
+#: Two independent families: a random number for each byte value, and a base.
+_FAMILIES = [(_rng.integers(0, 1 << 64, 256, np.uint64), int(_rng.integers(0, 1 << 61)) * 8 + 5) for _ in range(2)]
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -66,23 +70,24 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Hashes:
     """Hashes of any substring of a buffer, from prefix sums modulo 2**64."""
 
-    powers = inverse = np.ones(0, np.uint64)
+    cached: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(0, np.uint64), np.ones(0, np.uint64))] * 2
 
-    def __init__(self, raw: np.ndarray):
-        n = len(raw)
-        if len(Hashes.powers) < n + 1:
-            Hashes.powers, Hashes.inverse = _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 1 << 64), n + 1)
+    def __init__(self, raw: np.ndarray, family: int = 0):
+        n, (table, base) = len(raw), _FAMILIES[family]
+        if len(Hashes.cached[family][0]) < n + 1:
+            Hashes.cached[family] = _powers(base, n + 1), _powers(pow(base, -1, 1 << 64), n + 1)
+        powers, self.inverse = Hashes.cached[family]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * Hashes.powers[:n], out=self.sums[1:])
+        np.cumsum(table[raw] * powers[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * Hashes.inverse[start]
+        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
         h ^= h >> np.uint64(32)
         h *= _MIX
         return h ^ (h >> np.uint64(29))
 
     def grams(self, length: int) -> np.ndarray:
-        h = (self.sums[length:] - self.sums[:-length]) * Hashes.inverse[: len(self.sums) - length]
+        h = (self.sums[length:] - self.sums[:-length]) * self.inverse[: len(self.sums) - length]
         h ^= h >> np.uint64(32)
         h *= _MIX
         return h
@@ -122,7 +127,10 @@ def _slices(raw: np.ndarray, bounds: np.ndarray, length: int):
 
 
 def runs(raw: np.ndarray, valid: np.ndarray, length: int, gram: int):
-    """Runs of windows with one representative: (first window, windows, lead, hash of the k-gram, of the run)."""
+    """Runs of windows with one representative: (first window, windows, lead, h, run).
+
+    The upper half of h is a hash of the k-gram; its lower half and run are hashes of the run.
+    """
     h = Hashes(raw)
     grams = h.grams(gram)
     keys = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
@@ -135,7 +143,8 @@ def runs(raw: np.ndarray, valid: np.ndarray, length: int, gram: int):
     first, last = first[keep], last[keep]
     anchor = least[first]
     whole = h(first, last + length - 1) ^ (last - first).astype(np.uint64)
-    return first, last - first, _leads(raw, anchor), h(anchor, anchor + gram).view(np.int64), whole.view(np.int64)
+    both = (h(anchor, anchor + gram) >> np.uint64(32) << np.uint64(32)) | (Hashes(raw, 1)(first, last + length - 1) >> np.uint64(32))
+    return first, last - first, _leads(raw, anchor), both.view(np.int64), whole.view(np.int64)
 
 
 def _combine(lead: np.ndarray, h: np.ndarray, run: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -188,14 +197,43 @@ def _segments(doc: np.ndarray, run: np.ndarray, p: np.ndarray, gone: np.ndarray)
     return first, np.diff(np.append(first, len(doc)))
 
 
-def _larger(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place, as a number of the same order."""
+    if len(raw) < 8:
+        return np.zeros(0, np.uint64)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view(">u8").ravel().astype(np.uint64)
+
+
+def multikey_quicksort(eights: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the length-byte strings that start at p, and where strings differ from the one before.
+
+    Breadth first: all strings are sorted by their first eight bytes, then those still tied, each
+    group in itself, by the next eight, until no ties or bytes are left.
+    """
+    order = np.argsort(eights[p], kind="stable")
+    w = eights[p[order]]
+    new = np.append(True, w[1:] != w[:-1])[: len(p)]
+    for step in [*range(8, length - 8, 8), length - 8]:
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(p)))
+        tied = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(tied):
+            break
+        rows = order[tied]
+        w = eights[p[rows] + step]
+        turn = np.lexsort((w, np.cumsum(new)[tied]))
+        order[tied], w = rows[turn], w[turn]
+        new[tied[1:]] |= w[1:] != w[:-1]
+    return order, new
+
+
+def _larger(eights: np.ndarray, p: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """Which windows also start in a smaller document of those given."""
-    order = np.lexsort((doc, h))
-    hs, ds = h[order], doc[order]
-    new = np.append(True, hs[1:] != hs[:-1])
-    least = ds[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-    out = np.zeros(len(h), bool)
-    out[order] = ds > least
+    out = np.zeros(len(p), bool)
+    if len(p):
+        order, new = multikey_quicksort(eights, p, length)
+        start, sorted_ = np.flatnonzero(new), doc[order]
+        out[order] = sorted_ > np.repeat(np.minimum.reduceat(sorted_, start), np.diff(np.append(start, len(p))))
     return out
 
 
@@ -215,7 +253,7 @@ def _contexts(length: int, gram: int):
         run = np.repeat(np.arange(len(n)), n)
         p = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         doc = ids[run]
-        gone = _larger(h(p, p + length), doc)
+        gone = _larger(_eights(raw), p, doc, length)
         seg, count = _segments(doc, run, p, gone)
         at = ((p[seg] - start_of[run[seg]]) << 8) | (count << 1) | gone[seg]
         done = gone[seg]
@@ -253,80 +291,113 @@ def _contexts(length: int, gram: int):
 def _order(p: np.ndarray, h: Hashes, width: int, gram: int) -> np.ndarray:
     """Offset of the representative of each window: its least k-gram by hash, leftmost."""
     at = p[:, None] + np.arange(width)
-    keys = (h.sums[at + gram] - h.sums[at]) * Hashes.inverse[at]
+    keys = (h.sums[at + gram] - h.sums[at]) * h.inverse[at]
     keys ^= keys >> np.uint64(32)
     keys *= _MIX
     return (keys >> np.uint64(32)).argmin(1)
 
 
-def _compare_contexts(length: int):
-    """Sorted stretches of a bucket to spans; stretches with equal windows have equal keys.
-
-    A key's stretches are held as bytes until all have come; their windows are expanded a part
-    at a time, first for the smallest document of every distinct window, then for the verdicts.
-    """
+def _compare_contexts(length: int, stretches: int):
+    """Sorted stretches of a bucket to spans, and to the windows that a boundary leaves open."""
 
-    def settle(table: pa.Table):
+    def settle(table: pa.Table, edge: np.ndarray):
+        """Spans of a few keys' stretches; of those at an edge also the windows that stay."""
         doc, at = table["doc"].to_numpy(), table["at"].to_numpy()
         done = (at & 1).astype(bool)
-        yield from _pairs(doc[done], at[done])
+        yield from _spans(doc[done], at[done])
         if done.all():
             return
-        kept = table.filter(pa.array(~done))
-        doc, at = kept["doc"].to_numpy(), kept["at"].to_numpy()
-        cut = pa.concat_arrays(kept["cut"].chunks)
-        offsets = np.frombuffer(cut.buffers()[1], np.int32)[cut.offset : cut.offset + len(cut) + 1].astype(np.int64)
-        data = np.frombuffer(cut.buffers()[2], np.uint8)
+        kept, edge = table.filter(pa.array(~done)), edge[~done]
+        doc, at, cut = kept["doc"].to_numpy(), kept["at"].to_numpy(), kept["cut"].to_pylist()
+        whole = b"".join(cut)
+        raw, begins = np.frombuffer(whole, np.uint8), np.cumsum([0, *map(len, cut)])[:-1]
         n = at >> 1 & 127
-        total = np.cumsum(n)
-        ends = np.unique(np.append(np.searchsorted(total, np.arange(PART, total[-1], PART), "right"), len(n)))
-        spans = [(int(a), int(b)) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True) if a < b]
-
-        def windows(a: int, b: int):
-            m, raw = n[a:b], data[offsets[a] : offsets[b]]
-            row = np.repeat(np.arange(b - a), m)
-            within = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            p = (offsets[a:b] - offsets[a])[row] + within
-            return row, within, Hashes(raw)(p, p + length)
-
-        known, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for a, b in spans:
-            row, _, h = windows(a, b)
-            known, least = _least_by(np.concatenate([known, h]), np.concatenate([least, doc[a:b][row]]))
-        for a, b in spans:
-            row, within, h = windows(a, b)
-            gone = doc[a:b][row] > least[np.searchsorted(known, h)]
-            seg, count = _segments(row, row, within, gone)
-            seg, count = seg[gone[seg]], count[gone[seg]]
-            yield from _pairs(doc[a:b][row[seg]], (((at[a:b][row[seg]] >> 8) + within[seg]) << 8) | (count << 1) | 1)
+        row = np.repeat(np.arange(len(n)), n)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        p = begins[row] + within
+        gone = _larger(_eights(raw), p, doc[row], length)
+        seg, count = _segments(row, row, within, gone)
+        seg, count = seg[gone[seg]], count[gone[seg]]
+        yield from _spans(doc[row[seg]], (((at[row[seg]] >> 8) + within[seg]) << 8) | (count << 1) | 1)
+        left = np.flatnonzero(edge[row] & ~gone)
+        for k in range(0, len(left), 20_000):
+            some = left[k : k + 20_000]
+            yield from _spans(doc[row[some]], (((at[row[some]] >> 8) + within[some]) << 8) | 2, [whole[x : x + length] for x in p[some].tolist()])
+
+    def portions(table: pa.Table, edge: np.ndarray):
+        """The table in parts of about PART windows, each with whole keys or part of one key, which is then an edge."""
+        lead, h = table["lead"].to_numpy(), table["h"].to_numpy()
+        n = np.cumsum(table["at"].to_numpy() >> 1 & 127)
+        starts = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (h[1:] != h[:-1])))
+        ends = np.append(starts[1:], len(lead))
+        a = 0
+        while a < len(lead):
+            limit = int(np.searchsorted(n, (n[a - 1] if a else 0) + PART, "right"))
+            b = int(ends[max(0, np.searchsorted(ends, limit, "right") - 1)])
+            if b <= a:  # a key that is too large for one part
+                b = max(a + 1, limit)
+                k = int(np.searchsorted(starts, a, "right")) - 1
+                edge[starts[k] : ends[k]] = True
+            yield table.slice(a, b - a), edge[a:b]
+            a = b
 
     def run(batches):
-        held = []
+        held: list[pa.RecordBatch] = []
+        open_keys: list[tuple[int, int]] = []  # the bucket's first key, and one that was sorted in parts
+
+        def flush(rows: list[pa.RecordBatch], last: bool):
+            table = pa.Table.from_batches(rows)
+            lead, h = table["lead"].to_numpy(), table["h"].to_numpy()
+            if not open_keys:
+                open_keys.append((int(lead[0]), int(h[0])))
+            if last:
+                open_keys.append((int(lead[-1]), int(h[-1])))
+            edge = np.zeros(len(lead), bool)
+            for a, b in open_keys:
+                edge |= (lead == a) & (h == b)
+            open_keys[1:] = open_keys[-1:]
+            for part, at_edge in portions(table, edge):
+                yield from settle(part, at_edge)
+
         for b in batches:
             if not len(b):
                 continue
             lead, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (int(lead[0]), int(h[0])):
+                yield from flush(held, False)
+                held = []
             differs = np.flatnonzero((lead != lead[-1]) | (h != h[-1]))
             last = int(differs[-1]) + 1 if len(differs) else 0
-            if not last and held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (int(lead[0]), int(h[0])):
-                yield from settle(pa.Table.from_batches(held))
-                held = []
             if last:
-                yield from settle(pa.Table.from_batches([*held, b.slice(0, last)]))
+                yield from flush([*held, b.slice(0, last)], False)
                 held = []
             held.append(b.slice(last))
+            if sum(map(len, held)) > stretches:  # a key with many stretches: those so far stand for themselves
+                yield from flush(held, True)
+                held = []
         if held:
-            yield from settle(pa.Table.from_batches(held))
+            yield from flush(held, True)
 
     return run
 
 
-def _least_by(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, and the smallest document of each."""
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    new = np.append(True, h[1:] != h[:-1])
-    return h[new], doc[new]
+def _spans(doc: np.ndarray, at: np.ndarray, cut: list[bytes] | None = None):
+    if len(doc):
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(cut or [None] * len(doc), pa.binary())], names=["doc", "at", "cut"])
+
+
+def _first_wins(batches):
+    """Windows sorted by bytes, then document, to spans of all but the smallest document's."""
+    window, least = None, None
+    for b in batches:
+        docs, ats = [], []
+        for doc, at, cut in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if cut != window:
+                window, least = cut, doc
+            if doc > least:
+                docs.append(doc)
+                ats.append(at | 1)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ats, pa.int64())], names=["doc", "at"])
 
 
 def _neighbours(batches):
@@ -346,11 +417,11 @@ def _neighbours(batches):
         yield from _pairs(doc[gone], at[gone] | 1)
         every = new[: count + 1]
         gl, gh = rows[0][every], rows[1][every]
-        same = (gl[1:] == gl[:-1]) & (gh[1:] == gh[:-1])
+        same = (gl[1:] == gl[:-1]) & (gh[1:] >> 32 == gh[:-1] >> 32)
         unsure = np.zeros(len(every), bool)
         unsure[1:] |= same
         unsure[:-1] |= same
-        unsure[0] |= before is None or before == (int(gl[0]), int(gh[0]))
+        unsure[0] |= before is None or before == (int(gl[0]), int(gh[0]) >> 32)
         unsure[-1] |= last
         more = unsure[group] & ~gone
         yield from _pairs(doc[more], at[more])
@@ -365,8 +436,11 @@ def _neighbours(batches):
         held = rows
         if len(lead) and len(new) > 1:  # the last group waits, as more of its rows may follow
             yield from settle(rows, new, len(new) - 1, False, before)
-            before = int(lead[new[-2]]), int(h[new[-2]])
+            before = int(lead[new[-2]]), int(h[new[-2]]) >> 32
             held = [x[new[-1] :] for x in rows]
+        if len(held[0]) > HELD:  # rows of one group: looked into, but for the first, which later ones are compared with
+            yield from settle(held, np.zeros(1, np.int64), 1, True, before)
+            held = [x[:1] for x in held]
     if held is not None and len(held[0]):
         yield from settle(held, np.zeros(1, np.int64), 1, True, before)
 
@@ -420,8 +494,11 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (of bytes)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, stretches: int = STRETCHES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (of bytes).
+
+    stretches bounds what a task holds of one k-gram; the result is the same for any number.
+    """
     if not (8 <= gram <= length and length - gram < 64):
         raise ValueError("a representative takes 8 to length bytes, and a run at most 63 windows")
     spark = docs.sparkSession
@@ -430,16 +507,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     known = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     marks = scratch.save(_sorted_pairs(known.mapInArrow(_suffixes(length, gram), ROWS)), "marks")
-    release_shuffles(spark)
 
     unsure = marks.where("at & 1 = 0").groupBy("doc").agg(F.collect_list("at").alias("at"))
     looked = known.mapInArrow(_packed, "doc_id long, packed binary").join(unsure.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id")
-    open_ = looked.select("doc_id", "packed", "at").mapInArrow(_contexts(length, gram), OPEN)
-    dealt = open_.repartitionByRange("lead", "h").sortWithinPartitions("lead", "h")
-    single = scratch.save(dealt.mapInArrow(_compare_contexts(length), "doc long, at long"), "windows")
-    release_shuffles(spark)
-
-    spans = marks.where("at & 1 = 1").union(single).groupBy("doc").agg(F.collect_list("at").alias("at")).withColumnRenamed("doc", "doc_id")
+    open_ = scratch.save(looked.select("doc_id", "packed", "at").mapInArrow(_contexts(length, gram), OPEN), "open")
+    dealt = open_.repartitionByRange("lead", "h", "cut").sortWithinPartitions("lead", "h", "cut")
+    single = scratch.save(dealt.mapInArrow(_compare_contexts(length, stretches), SPANS), "windows")
+    scratch.drop(open_)
+    edges = single.where("cut is not null").repartitionByRange("cut").sortWithinPartitions("cut", "doc")
+    across = scratch.save(edges.mapInArrow(_first_wins, "doc long, at long"), "across")
+
+    found = marks.where("at & 1 = 1").union(single.where("cut is null").select("doc", "at")).union(across)
+    spans = found.groupBy("doc").agg(F.collect_list("at").alias("at")).withColumnRenamed("doc", "doc_id")
     every = docs.mapInArrow(_packed, "doc_id long, packed binary").join(spans.hint("shuffle_hash"), "doc_id", "left")
     return every.select("doc_id", "packed", "at").mapInArrow(_cut(length), RESULT + ", spans array<struct<start:long,end:long>>")
 
