@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -258,6 +259,15 @@ def test_pii(spark, docs, nothing):
     assert pii.find_pii(nothing, *pii.train(nothing)).count() == 0
 
 
+def test_pii_of_long_runs(spark):
+    """Time stays linear: long runs, and thousands of matches in a text."""
+    units = ["a", "1", "@", "1 ", "a@", "1.", "+1((((((((((", "4111 1111 1111 1111 ", "ab@c.de ", "x (at) y "]
+    df = spark.createDataFrame([(i, u * (60_000 // len(u))) for i, u in enumerate(units)], "doc_id long, text string").repartition(len(units))
+    began = time.time()
+    out = {r["doc_id"]: r["n"] for r in pii.find_pii(df, *pii.train(df)).select("doc_id", F.size(F.filter("pii", lambda x: x["kind"] != pii.EXTRA)).alias("n")).collect()}
+    assert out[8] == 60_000 // 8 and all(out[i] == 0 for i in (0, 1, 2, 3, 4, 9)) and time.time() - began < 60
+
+
 def test_pii_beyond_the_fixed_patterns(spark):
     """Cards beside other numbers and spelled-out addresses look like confirmed spans but for their marks."""
     rng = np.random.default_rng(13)
