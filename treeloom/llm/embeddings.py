@@ -11,9 +11,13 @@ that are still large are split on inside their task. Leaves emit only links that
 the leaf has not joined yet; components of all links are then compared block by block, so
 link counts are exact inside every component however large it is.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors
-of another length than most are compared among their own length. Repeated vec_ids are kept
-as rows; ids must be unique for counts to be meaningful. Empty tables give empty results.
+Equal vectors, told by 128 bits of hash, are one node with a weight, so a vector that a third of
+the rows repeat is routed and compared once.
+
+Vectors that are null, zero, or hold null or non-finite components link with nothing. Components
+may be as small or large as doubles go. Vectors of another length than most are compared among
+their own length. Repeated vec_ids are kept as rows; ids must be unique for counts to be
+meaningful. Empty tables give empty results. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ LEAF = 512
 #: Vectors of a leaf that are compared without further splits.
 LEAF_MOST = 8192
 SPILLS = (0.06, 0.12, 0.2)
-SAMPLE = 32_768
+SAMPLE = 65_536
 #: Sampled vectors with made-up partners, partners of each, neighbours they lie towards, parts by density.
 PROBES, PARTNERS, NEAR, GROUPS = 1024, 16, 64, 16
 #: Trees of each spill that the choice is made by; products of two vectors that cost as much as moving one.
@@ -46,6 +50,7 @@ SPLIT_LEAST = 16
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = np.asarray(vectors, np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # squares of tiny or huge components would be 0 or infinite
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -180,10 +185,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
     bounded_batches(spark, rows=4096)
-    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("e"))
+    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("e"))
     finite = ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("e").isNotNull() & finite & F.exists("e", lambda x: x != 0)
-    good = rows.where(usable)
+    hashed = rows.where(usable).select("vec_id", "e", F.xxhash64("e").alias("k1"), F.xxhash64(F.lit(seed), "e").alias("k2"))
+    nodes = scratch.save(hashed.groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("e").alias("e")), "nodes")
+    good = nodes.select(F.col("node").alias("vec_id"), F.col("e").cast("array<double>").alias("e"))
     links = None
     for (width,) in good.groupBy(F.size("e").alias("width")).agg(F.count("*").alias("n")).where("n > 1").select("width").collect():
         found = _forest_links(good.where(F.size("e") == width), width, cosine, recall, seed)
@@ -191,19 +198,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
     component = cc.components(links, scratch)
-    members = component.join(good, component.node == good.vec_id).select("component", "node", F.lit(1).cast("long").alias("weight"), F.col("e").alias("payload"))
+    members = component.join(nodes, "node").select("component", "node", F.col("copies").alias("weight"), F.col("e").cast("array<double>").alias("payload"))
     packed = members.mapInArrow(_pack_payload, "component long, node long, weight long, payload binary")
 
     def adjacency(a: list[bytes], b: list[bytes]) -> np.ndarray:
         read = lambda x: unit(np.stack([np.frombuffer(p, np.float64) for p in x]))
         return read(a) @ read(b).T >= cosine
 
-    counts = scratch.save(cc.count_links(packed, adjacency, scratch, block=1024), "links")
+    counts = cc.count_links(packed, adjacency, scratch)
+    each = nodes.select("k1", "k2", "node", "copies").join(component, "node", "left").join(counts, "node", "left")
+    links_of = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    info = scratch.save(each.select("k1", "k2", links_of, F.coalesce("component", "node").alias("component_id")), "info")
+    # A node can hold a large share of the rows, so both sides of the last join are plain tables.
+    keyed = rows.select("vec_id", F.when(usable, F.xxhash64("e")).alias("k1"), F.when(usable, F.xxhash64(F.lit(seed), "e")).alias("k2"))
     return (
-        rows.select("vec_id")
-        .join(component.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .join(counts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        keyed.join(info.hint("merge"), ["k1", "k2"], "left")
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
 
@@ -232,6 +242,8 @@ def _forest_links(good: DataFrame, width: int, cosine: float, recall: float, see
             sent = short if (short == flat).all() else flat  # half the bytes, where nothing is lost
             for t, tree in enumerate(routes.value):
                 at, leaf = tree.leaves(v)
+                if len(np.unique(at)) < len(v):
+                    raise ValueError("a vector reaches no leaf")
                 for k in range(0, len(at), 4096):
                     part = at[k : k + 4096]
                     yield pa.RecordBatch.from_arrays(
