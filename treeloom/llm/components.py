@@ -5,9 +5,10 @@ point to a smaller node, and every step is a minimum per node joined back to its
 Minima are written out before the join, so both of its sides are plain shuffles that adaptive
 execution can split when one node has a large share of the edges.
 
-``count_links`` and ``spanning_links`` cut each group into blocks of about BLOCK members and
-compare blocks in pairs, each in one small task; only counts, or joining links, leave a task. Rows moved grow with members times
-blocks of their component, and never with pairs of members.
+``count_links`` and ``spanning_links`` cut each group into blocks of about BLOCK members or
+BLOCK_BYTES of their contents, and compare blocks in pairs, each in one task of bounded size; only
+counts, or joining links, leave a task. Rows moved grow with members times blocks of their
+component, and never with pairs of members.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.scratch import Scratch
 
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
 #: Members of small components that share a task, about.
 BIN = 1000
 
@@ -59,10 +60,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _deal(members: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """members (component, node, weight, payload) by pairs of blocks; small components share bins."""
-    sizes = scratch.save(members.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    bins = max(1, total // BIN)
-    cut = members.join(sizes.hint("merge"), "component").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    sizes = scratch.save(members.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload").cast("long")).alias("bytes")), "sizes")
+    total, heavy = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bins = max(1, total // BIN, heavy // BLOCK_BYTES)
+    cut = members.join(sizes.hint("merge"), "component").withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     small = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(True).alias("first"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).cast("int").alias("i"), F.greatest(own, o).cast("int").alias("j"), (own <= o).alias("first")))

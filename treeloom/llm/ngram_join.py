@@ -152,16 +152,26 @@ def _checked(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scr
 def _adjacency(similarity: float):
     def adjacency(a: list[bytes], b: list[bytes]) -> np.ndarray:
         """Overlaps by matrix products over the shingles that several sets hold."""
-        left, right = [_unpacked(x) for x in a], [_unpacked(x) for x in b]
-        shared, count = np.unique(np.concatenate([*left, *right]), return_counts=True)
-        shared = shared[count > 1]
+        same = a == b
+        sets = [_unpacked(x) for x in (a if same else a + b)]
+        lengths = np.array([len(s) for s in sets])
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), lengths)
+        several = count[code] > 1
+        code, row = (np.cumsum(count > 1) - 1)[code[several]], row[several]
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
         both = np.zeros((len(a), len(b)), np.float32)
-        for at in range(0, len(shared), 4096):
-            part = shared[at : at + 4096]
-            fill = lambda sets: np.stack([np.isin(part, s, assume_unique=True) for s in sets]).astype(np.float32)  # noqa: B023, E731
-            both += fill(left) @ fill(right).T
-        union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - both
-        return both >= similarity * union - 1e-6
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
+            here = slice(*np.searchsorted(code, [at, at + 2048]))
+            fill = np.zeros((len(sets), 2048), np.float32)
+            fill[row[here], code[here] - at] = 1
+            both += fill[: len(a)] @ fill[0 if same else len(a) :].T
+        union = lengths[: len(a)][:, None] + lengths[0 if same else len(a) :][None, :] - both
+        linked = both >= similarity * union - 1e-6
+        if same:  # shingles of a single set are left out above
+            np.fill_diagonal(linked, True)
+        return linked
 
     return adjacency
 
