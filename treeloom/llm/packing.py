@@ -1,14 +1,15 @@
 """Packing documents into fixed-capacity sequences by first-fit decreasing.
 
-Documents are dealt at random (a hash of id and text) into groups of about GROUP_DOCS, and
-every group is packed on its own, so one shuffle suffices, no group depends on another and
+Documents are dealt at random (a hash of id, text, input partition, and how many equal rows came
+before in it) into groups of about GROUP_DOCS, and every group is packed on its own, so one shuffle suffices, no group depends on another and
 groups stay small at any corpus size. Documents longer than the capacity give full pieces
 first; the rest of each is one item. Inside a group the items go, longest first, into the
 leftmost bin with room, found by descending a tournament tree whose inner nodes hold the
 largest room below them: O(log n) an item.
 
 Null text is empty: its document is the single end id. Repeated rows are packed as often as
-they occur. An empty table gives no pieces. Only the id and text columns are read.
+they occur, and in different groups. Equal rows are interchangeable, so a task that runs again
+deals the same rows to the same groups whatever their order. An empty table gives no pieces. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +64,24 @@ def first_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> list[t
     return out
 
 
-def _cut(path: str, capacity: int):
-    """Arrow batches of (grp, doc_id, text) to pieces with their ids."""
+def _dealt(hashes: np.ndarray, seen: dict[int, int], part: int, groups: int) -> pa.Array:
+    """The group of each row by its hash and the equal rows seen before; seen counts those."""
+    before = np.zeros(len(hashes), np.uint64)
+    for k, h in enumerate(hashes.tolist()):
+        before[k] = seen[h] = seen.get(h, -1) + 1
+    mixed = hashes.astype(np.uint64) ^ ((before << np.uint64(24)) + np.uint64(part)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return pa.array(((mixed >> np.uint64(33)) % np.uint64(groups)).astype(np.int64))
+
+
+def _cut(path: str, capacity: int, groups_of_all: int):
+    """Arrow batches of (hash, doc_id, text) to pieces with their ids and group."""
 
     def run(batches):
         tok = tokens.tokenizer(path)
-        narrow = tok.narrow
+        narrow, seen, part = tok.narrow, {}, TaskContext.get().partitionId()
         for batch in batches:
-            groups, docs = batch.column(0), batch.column(1)
+            groups, docs = _dealt(batch.column(0).to_numpy(), seen, part, groups_of_all), batch.column(1)
             rows: list[list] = [[], [], [], [], []]
             for i, ids in enumerate(tok.ids(batch.column(2))):
                 total = len(ids) // 4
@@ -105,8 +117,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS
     scratch.bounded_batches(docs.sparkSession, rows=512, megabytes=4)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     groups = max(1, math.ceil(docs.count() / group_docs))
-    grouped = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "doc_id", "text")
-    pieces = grouped.mapInArrow(_cut(tokenizer or tokens.default_tokenizer(), capacity), "grp long, doc_id long, start long, length long, doc_tokens long, ids binary")
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("hash"), "doc_id", "text")
+    pieces = hashed.mapInArrow(_cut(tokenizer or tokens.default_tokenizer(), capacity, groups), "grp long, doc_id long, start long, length long, doc_tokens long, ids binary")
     return pieces.groupBy("grp").applyInArrow(_pack_group(capacity), PIECES)
 
 
