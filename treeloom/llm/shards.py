@@ -14,7 +14,8 @@ leaves one file. The manifest, one row a sequence, is a table beside the shards.
 
 Null text is an empty document (its end id alone). An empty table gives no shards. Repeated
 rows are written as often as they occur; a null id stays null in the manifest. Extra columns
-are ignored. The order depends on how the table's files are split into partitions, and on key.
+are ignored. The order depends on how the table's files are split into partitions, and on key. A
+partition that was not measured, or gives more sequences than it has positions, is an error.
 """
 
 from __future__ import annotations
@@ -73,15 +74,18 @@ def _take(docs: list[list], n: int) -> list[int | None]:
     return out
 
 
-def _place(path: str, sequence: int, shards: int, first: dict[int, int], order: Permutation, kind: str):
+def _place(path: str, sequence: int, shards: int, first: dict[int, tuple[int, int]], order: Permutation, kind: str):
     """Sequences with their rank in the permuted order, and the shard whose range holds it."""
     stream = _stream(path, sequence)
 
     def run(batches):
-        number = first.get(TaskContext.get().partitionId(), 0)
+        part = TaskContext.get().partitionId()
+        number, end = first.get(part, (0, 0))
         rows: list[tuple] = []
 
         def batch():
+            if number + len(rows) > end:
+                raise ValueError(f"partition {part} has more sequences than its {end} positions: it was measured otherwise, or the vocabulary gives more than {IDS_PER_BYTE} ids a byte")
             rank = order.slot(np.arange(number, number + len(rows)))
             return pa.RecordBatch.from_arrays(
                 [pa.array(shard_of(rank, order.n, shards)), pa.array(rank), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[0].astype(kind).tobytes() for r in rows], pa.binary())],
@@ -160,8 +164,9 @@ def write_shards(
     sizes = docs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("n")).orderBy("part").collect()  # one row a partition
     first, total = {}, 0
     for r in sizes:
-        first[r["part"]] = total
-        total += -(-(IDS_PER_BYTE * r["bytes"] + r["n"]) // sequence)
+        bound = -(-(IDS_PER_BYTE * r["bytes"] + r["n"]) // sequence)
+        first[r["part"]] = total, total + bound
+        total += bound
     shards = max(1, math.ceil(sum(r["bytes"] for r in sizes) / shard_text))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
