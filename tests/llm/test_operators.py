@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from oracle import agree
 from pyspark.sql import functions as F
 
@@ -127,6 +128,14 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_of_repeated_rows(spark):
+    """A row that a third of the table repeats is dealt to as many groups as other rows."""
+    df = spark.createDataFrame([(1, "same text")] * 4000 + [(None, None)] * 1000, "doc_id long, text string")
+    rows = packing.pack(df, group_docs=100).collect()
+    sizes = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 5000 and len(sizes) == 50 and max(sizes.values()) < 200
+
+
 def test_permutation():
     for n in (0, 1, 2, 3, 16, 17, 1000, 4097):
         p = feistel.Permutation(n, 7)
@@ -135,7 +144,7 @@ def test_permutation():
     assert (feistel.Permutation(1000, 1).slot(np.arange(1000)) != feistel.Permutation(1000, 2).slot(np.arange(1000))).any()
 
 
-def test_shards(spark, docs, nothing, tmp_path):
+def test_shards(spark, docs, nothing, tmp_path, monkeypatch):
     rows = sorted(shards.write_shards(docs, f"file://{tmp_path}/a", sequence=128, shard_text=200_000).collect(), key=lambda r: r["slot"])
     assert [r["slot"] for r in rows] == list(range(len(rows))) and len({r["shard_id"] for r in rows}) > 1
     got = shards.read_slots(f"file://{tmp_path}/a", rows, sequence=128)
@@ -147,6 +156,9 @@ def test_shards(spark, docs, nothing, tmp_path):
     assert sum((Counter(i.tolist()) for i in got), Counter()) == want
     assert {d for r in rows for d in r["doc_ids"]} == {*range(len(TEXTS)), None}
     assert shards.write_shards(nothing, f"file://{tmp_path}/b").count() == 0
+    monkeypatch.setattr(shards, "IDS_PER_BYTE", 0)
+    with pytest.raises(Exception, match="more sequences than"):
+        shards.write_shards(docs, f"file://{tmp_path}/c", sequence=16)
 
 
 def test_bands():
@@ -186,6 +198,15 @@ def test_ngram_join_of_a_large_chain(spark):
     assert [out[i]["class_id"] for i in range(len(sets))] == label
 
 
+def test_overlaps_by_matrix_products():
+    rng = np.random.default_rng(18)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 12, rng.integers(1, 40))).encode() for _ in range(60)]
+    packed = [zstandard.compress(t) for t in texts]
+    sets = [ngram_join.shingles(t) for t in texts]
+    want = np.array([[ngram_join.similar(x, y, 0.3) for y in sets] for x in sets])
+    assert (ngram_join._adjacency(0.3)(packed, packed) == want).all() and (ngram_join._adjacency(0.3)(packed[:20], packed[15:]) == want[:20, 15:]).all()
+
+
 def test_language(spark, nothing):
     en = "the cat sat on the mat and the dog ran to the house with a ball in the garden".split()
     fr = "le chat est sur le tapis et la souris court vers la maison avec une balle dans le jardin".split()
@@ -193,13 +214,32 @@ def test_language(spark, nothing):
     rows = [(i, " ".join(rng.choice(en if i % 2 else fr, 30)), "en" if i % 2 else "fr", "s") for i in range(200)]
     rows += [(900, None, "en", "s"), (901, "123 !!", "en", "s"), (902, "", None, "s"), (903, "The cat", None, "s"), (None, "le chat est sur", None, "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
-    model = langid.train(langid.sample_places(df))
+    model = langid.fit(df)
     out = {r["doc_id"]: r for r in langid.predict(df.select("doc_id", "text"), model).collect()}
     assert all(out[i]["lang_pred"] == rows[i][2] for i in range(200)) and out[903]["lang_pred"] == "en" and out[None]["lang_pred"] == "fr"
     assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (900, 901, 902)) and all(0 <= r["score"] <= 1 for r in out.values())
     held = {r["doc_id"] for r in df.where(langid.held_out(F.col("doc_id"))).collect()}
     assert held == {i for i in [*range(200), 900, 901, 902, 903] if zlib.crc32(str(i).encode()) % 4 == 2}
-    assert langid.train(langid.sample_places(nothing)).predict(["text"]) == (["und"], [0.0])
+    assert langid.fit(nothing).predict(["text"]) == (["und"], [0.0])
+    long = spark.createDataFrame([(1, LONG + " the cat sat", "x"), (1, LONG + " the cat sat", "x")], "doc_id long, text string, score string")
+    assert len({tuple(r) for r in langid.predict(long, model).collect()}) == 1
+
+
+def test_language_kernel_against_sets():
+    """The kernel equals overlaps of plain sets of n-grams, and the fitted scores are those of the ridge regression."""
+    rng = np.random.default_rng(19)
+    texts = ["".join(rng.choice(list("abcdeé Ä\n"), rng.integers(1, 400))) for _ in range(60)] + [LONG]
+    sets = [{t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)} for t in map(str.lower, texts)]
+    marks = langid.Landmarks([langid.ngrams(t) for t in texts[:20]])
+    want = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets[:20]] for a in sets])
+    assert np.abs(marks.kernel(texts) - want).max() < 1e-6
+    rows = [("ab"[k % 2], want[k]) for k in range(60)]
+    model = langid.solve(["a", "b"], rows, marks, ridge=0.1)
+    # Plain kernel ridge regression on the Nyström approximation of the kernel.
+    inverse = np.linalg.pinv(want[:20], rcond=1e-9, hermitian=True)
+    kernel, target, weight = want[:60] @ inverse @ want[:60].T, np.array([[1.0, 0.0], [0.0, 1.0]] * 30), 30.0
+    scores = want @ inverse @ want[:60].T @ np.linalg.solve(kernel + 0.1 * weight * np.eye(60), target)
+    assert np.abs(want @ model.weights - scores).max() < 1e-6
 
 
 def brute_secrets(text):
@@ -389,6 +429,21 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_of_extreme_sizes_and_equal_vectors(spark):
+    rng = np.random.default_rng(17)
+    v = rng.standard_normal((1500, 8)).tolist()
+    rows = [*enumerate(v), (5000, [1e-200 * x for x in v[0]]), (5001, [1e200 * x for x in v[0]]), (5002, [5e-324] + [0.0] * 7), (5003, [1.0] + [0.0] * 7)]
+    rows += [(10_000 + i, v[7]) for i in range(20_000)]
+    out = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = embeddings.unit(np.array([x for _, x in rows[:1504]]))
+    linked = unit @ unit.T >= 0.9
+    weight = np.ones(1504, int)
+    weight[7] += 20_000
+    want = linked @ weight - 1
+    assert len(out) == len(rows) and [out[i]["n_links"] for i, _ in rows[:1504]] == want.tolist()
+    assert {(out[10_000 + i]["n_links"], out[10_000 + i]["component_id"]) for i in range(20_000)} == {(want[7], out[7]["component_id"])}
+
+
 def test_embeddings_of_a_hot_region(spark):
     """A third of the rows lie close together, where splits part links most; recall must hold there too."""
     rng = np.random.default_rng(12)
