@@ -8,8 +8,9 @@ A is tokens times posterior and M the domains' moment matrix, so a step of 1 is
 depends on the posterior alone; posteriors are rounded to GRID, which bounds the table the
 iterations run over by the grid, not the corpus. A token here is a blank-separated word.
 
-Documents are measured in one scan; applying the rates to texts is another. No text is shuffled.
-The labelled sample has about TRAIN_ROWS rows, the only thing broadcast. Only built-in expressions run.
+Documents are measured in one scan; ``mixed`` stores them with their measures, so that applying the
+rates takes no second one. No text is shuffled. Texts of any length are measured whole, and rows
+that repeat get the same rate. The labelled sample has about TRAIN_ROWS rows, the only thing broadcast. Only built-in expressions run.
 
 Null text has no words: its posterior is that of a document without marks, its weight is 0.
 Documents without labels, and labels without documents, are fine; labels with a null id or domain
@@ -28,11 +29,13 @@ from treeloom.llm.quality import SYMBOLS, UPPER
 from treeloom.llm.scratch import Scratch
 
 TRAIN_ROWS = 6000
-VOCABULARY = 96
+#: Telling words of the classifier, the most telling first.
+VOCABULARY = 256
 #: A word must be in so many sampled documents.
 LEAST_DOCS = 8
 GRID = 3
-STEPS = 60
+STEPS = 200
+#: Share of the targets' sum that totals may miss; a hundredth of it ends the steps where targets are out of reach.
 TOLERANCE = 1e-4
 #: Expected size of the heaviest target's domain, times what it has.
 GROWTH = 1.25
@@ -88,13 +91,13 @@ class Mixer:
 
         return _let(words_of(text), lambda w: F.struct(_let(score(w), softmax).alias("p"), F.size(w).cast("long").alias("n")))
 
-    def rate(self, p: Column) -> Column:
+    def rate(self, p: str = "p") -> Column:
         """The rate of a posterior: every step moves it against the gradient, and not below 0."""
         if not self.steps:
             return F.lit(1.0)
-        steps = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in self.steps])
-        along = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - along(g)))
+        steps = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in g) + ")" for g in self.steps)
+        along = f"aggregate(zip_with({p}, g, (a, b) -> a * b), 0D, (s, x) -> s + x)"
+        return F.expr(f"aggregate(array({steps}), 1D, (r, g) -> greatest(0D, r - {along}))")
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Mixer:
@@ -131,7 +134,10 @@ def measure(docs: DataFrame, mixer: Mixer, text: str = "text") -> DataFrame:
 
 
 def fit_rates(measured: DataFrame, mixer: Mixer, targets: dict[str, float], growth: float = GROWTH) -> dict:
-    """Take gradient steps until expected domain totals match; returns totals and targets."""
+    """Take gradient steps until expected domain totals match; returns totals and targets.
+
+    Targets that no rates reach end with the nearest totals; steps that do not settle are an error.
+    """
     scratch = Scratch(measured.sparkSession, "mixing")
     cells = scratch.save(measured.groupBy("p").agg(F.sum("n").alias("n")), "cells")
     k = len(mixer.domains)
@@ -151,16 +157,20 @@ def fit_rates(measured: DataFrame, mixer: Mixer, targets: dict[str, float], grow
         if np.abs(reached - want).max() <= TOLERANCE * want.sum():
             break
         mixer.steps.append((inverse @ (reached - want)).tolist())
-        rated = cells.withColumn("r", mixer.rate(F.col("p")))
+        rated = cells.withColumn("r", mixer.rate("p"))
         now = rated.agg(*[F.sum(F.col("n") * at(i) * F.col("r")).alias(f"t{i}") for i in range(k)]).first()
-        reached = np.array([now[f"t{i}"] for i in range(k)])
+        before, reached = reached, np.array([now[f"t{i}"] for i in range(k)])
+        if np.abs(reached - before).max() <= TOLERANCE / 100 * want.sum():
+            break
+    else:
+        raise ValueError(f"the rates did not settle in {STEPS} steps")
     return {"have": have.tolist(), "want": want.tolist(), "reached": reached.tolist()}
 
 
 def rated(measured: DataFrame, mixer: Mixer, doc_id: str = "doc_id", seed: int = 17) -> DataFrame:
     """measured with rate and copies: the rate's whole part, and one more by its fraction."""
     draw = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
-    out = measured.withColumn("rate", mixer.rate(F.col("p")))
+    out = measured.withColumn("rate", mixer.rate("p"))
     return out.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
@@ -171,6 +181,18 @@ def mix(docs: DataFrame, mixer: Mixer, doc_id: str = "doc_id", text: str = "text
     return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_doc.*")
 
 
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Fit and mix with one scan of the texts: documents are stored with what was measured of them."""
+    targets = targets or TARGETS
+    mixer = train(docs, label_domains(labels), list(targets), doc_id=doc_id, text=text)
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    measured = Scratch(docs.sparkSession, "mixing").save(measure(inside, mixer, "_text").drop("_text"), "documents")
+    if mixer.weights:
+        fit_rates(measured, mixer, targets)
+    out = rated(measured, mixer, "_id").where("copies > 0")
+    return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_doc.*")
+
+
 def label_domains(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) of a table of quality and toxic marks."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
