@@ -16,7 +16,8 @@ bucket and not joined through others is missed with probability at most 1 - TARG
 
 A text of one to four words is one shingle of what it has. A null text or one without words
 links with nothing and is its own class. Rows that repeat an id and text count as copies; a
-null id takes part under its class's smallest id. Extra columns are ignored.
+null id takes part under its class's smallest id, which is null if no other has one. Texts of any
+length are compared whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def _sign(bands: int, rows: int):
         for b in batches:
             sets = [shingles(t) for t in tokens.raw_bytes(b.column(1))]
             node = pa.array([_node(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array([sign(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), node, pa.array([sign(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "content", "node", "bands"])
 
     return run
 
@@ -178,20 +179,27 @@ def _adjacency(similarity: float):
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET_RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class), n_links."""
+    return classes(docs, similarity, recall, doc_id, text).select("doc_id", "class_id", "n_links")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET_RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """near_duplicates with content, a hash of the text, and component, the class's key (null without words)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     bounded_batches(spark)
     bands, rows = choose_bands(similarity, recall)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = scratch.save(docs.mapInArrow(_sign(bands, rows), "doc_id long, node long, bands array<long>"), "signed")
-    nodes = scratch.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
+    docs = docs.withColumn("content", F.xxhash64("text"))
+    signed = scratch.save(docs.mapInArrow(_sign(bands, rows), "doc_id long, content long, node long, bands array<long>"), "signed")
+    nodes = scratch.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("content", F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("content"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
 
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = scratch.save(placed.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "buckets")
     shared = scratch.save(placed.join(buckets.hint("merge"), "bucket"), "shared")
 
-    wanted = shared.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    by_rep = docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").select("node", "text")
+    # A node's text is fetched by its smallest id, null if it has no other, and the hash of the text of that row.
+    wanted = shared.select("node").distinct().join(nodes.select("node", F.col("rep").alias("_rep"), F.col("content").alias("_content")), "node")
+    by_rep = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("content") == F.col("_content"))).select("node", "text")
     texts = scratch.save(by_rep.mapInArrow(_pack_texts, "node long, packed binary").dropDuplicates(["node"]), "texts")
 
     stars = shared.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
@@ -207,10 +215,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     counts = cc.count_links(members, _adjacency(similarity), scratch)
     known = nodes.select("node", "rep", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = scratch.save(known.groupBy("component").agg(F.min("rep").alias("class_id")), "classes")
-    info = scratch.save(known.join(classes.hint("merge"), "component").join(counts, "node", "left").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "info")
+    info = scratch.save(known.join(classes.hint("merge"), "component").join(counts, "node", "left").select("node", "component", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "info")
     # A node can hold a large share of the rows, so both sides of the last join are plain tables.
-    out = signed.select("doc_id", "node").join(info.hint("merge"), "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = signed.select("doc_id", "content", "node").join(info.hint("merge"), "node", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "content", "component")
 
 
 def _unjoined(shared: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
@@ -220,10 +228,23 @@ def _unjoined(shared: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFra
     return scratch.save(label.join(scratch.save(mixed, "mixed").hint("merge"), "bucket").select("bucket", "node"), "unjoined")
 
 
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs without the documents whose class has one with a smaller id; null ids stay."""
-    drop = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each of the classes found: the smallest id's, by hash of text if there are several.
+
+    A row with a null id stays only if its class has no other, and of rows that repeat an id and
+    text one stays. Documents without words are in no class, so all of them stay.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    members = scratch.save(found.where("component is not null").select("doc_id", "content", "component"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("content").alias("c"))
+    best = scratch.save(members.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best"), "best")
+    judged = members.join(best.hint("merge"), "component").groupBy("doc_id", "content").agg(F.max(F.col("best") == order).alias("stays"), F.count("*").alias("n"))
+    marks = scratch.save(judged.where("NOT stays OR n > 1"), "marks")
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("_content"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_content") == F.col("content"))
+    single = inside.join(marks.select("doc_id", "content"), same, "left_anti")
+    again = inside.join(marks.where("stays").select("doc_id", "content"), same, "left_semi").dropDuplicates(["_id", "_content"])
+    return single.union(again).select("_doc.*")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
