@@ -174,10 +174,21 @@ def test_ngram_join(docs, nothing):
     assert len(out) == docs.count() and by[7] == (6, 1) and by[6] == (6, 1)
     assert by[8] == by[10] == by[9] == (8, 4) and by[None] == (8, 4)  # 8 (twice), 9, 10 and the null id
     assert by[1] == (1, 0) and by[2] == (2, 0) and by[0] == (0, 0)
-    assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs, ngram_join.near_duplicates(docs)).where("doc_id in (8, 9, 10)").collect()) == [8, 8]
+    kept = ngram_join.keep_one(docs, ngram_join.classes(docs))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.where("doc_id is null or doc_id in (8, 9, 10)").collect()) == [8]
     assert ngram_join.near_duplicates(nothing).count() == 0
 
 
+def test_ngram_join_of_rows_without_ids(spark):
+    """A text that only rows with a null id hold is compared like any other."""
+    rows = [(None, NEAR), (None, NEAR), (7, NEAR.replace("tok59", "end")), (None, "alone " + LONG), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(df).collect())
+    assert found == Counter([(None, 7, 2), (None, 7, 2), (7, 7, 2), (None, None, 0), (None, None, 0)])
+    kept = ngram_join.keep_one(df, ngram_join.classes(df)).collect()
+    assert sorted((r["doc_id"] or 0, len(r["text"])) for r in kept) == sorted([(7, len(rows[2][1])), (0, len(rows[3][1])), (0, 0)])
+
+
 def test_ngram_join_of_a_large_chain(spark):
     """Many variants of one text, each like some and unlike others: no link may be lost."""
     rng = np.random.default_rng(3)
@@ -267,6 +278,34 @@ def test_secrets(docs, nothing):
     assert all(same[i] == t for i, t in enumerate(TEXTS) if i != 11) and secrets.redact(nothing).count() == 0
 
 
+def test_secrets_beyond_the_fixed_patterns(spark):
+    """Planted secrets of several kinds against long names in the same places: recall and precision."""
+    rng = np.random.default_rng(20)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    words = [draw(low, rng.integers(4, 9)) for _ in range(60)]
+    name = lambda: "_".join(rng.choice(words, 4)) if rng.random() < 0.5 else "".join(w.title() for w in rng.choice(words, 4))
+    prose = lambda n: " ".join(rng.choice(words, n))
+    kinds = [lambda: draw(low + up + num, 32), lambda: draw(low + up, 40), lambda: draw(low + up + num + "+/", 64)]
+    planted, rows = {}, []
+    for i in range(300):
+        body = kinds[i % 3]() if i % 2 else name()
+        text = f"{prose(12)} private key {body} {prose(9)}" if i % 4 < 2 else f"{prose(12)} {body} is my api key {prose(9)}"
+        planted[i] = body if i % 2 else None
+        rows.append((i, text))
+    lines = [draw(low + up + num + "+/", 64) for _ in range(25)]
+    rows.append((900, "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----"))
+    token = [draw(low + up + num, n) for n in (36, 120, 43)]
+    rows += [(901, "Authorization: Bearer " + ".".join(token)), (902, None), (903, "key " * 3000 + prose(50_000))] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: [(r["text"] or "")[s["start"] : s["end"]] for s in r["secrets"] if s["kind"] == "novel"] for r in secrets.find_secrets(df).collect()}
+    caught = sum(planted[i] in out[i] for i in range(300) if planted[i])
+    wrong = sum(len([x for x in out[i] if x != planted[i]]) for i in range(300))
+    assert caught >= 0.97 * 150 and wrong <= 0.12 * 150, (caught, wrong)
+    assert out[900] == lines and out[901] == token and out[902] == [] and out[903] == []
+    assert secrets.learn(df.where("false")) == secrets.IDENTIFIERS
+
+
 def luhn(d):
     total = 0
     for i, c in enumerate(reversed(d)):
@@ -458,7 +497,7 @@ def test_embeddings_of_a_hot_region(spark):
     assert linked.sum() > 1000 and sum(out.values()) >= 0.98 * linked.sum() and all(out[i] <= n for i, n in enumerate(linked))
 
 
-def test_mixing(spark, docs, nothing):
+def test_mixing(spark, docs, nothing, monkeypatch):
     rows = [(i, ("idiot scum " if i % 4 == 0 else "") + "kind words that say a little about day " * 4 + str(i)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 400, 2)] + [(None, 1, 0), (9999, 1, 1)], "doc_id long, quality int, toxic int")
@@ -478,6 +517,15 @@ def test_mixing(spark, docs, nothing):
     unlabelled, _ = mixing.fitted(docs, labels.where("false"))
     assert mixing.mix(docs, unlabelled).count() >= docs.count()
     assert mixing.fitted(nothing, labels)[1].count() == 0
+    assert sorted(map(tuple, mixing.mixed(df, labels, targets).collect())) == sorted(map(tuple, mixing.mix(df, mixer).collect()))
+    assert mixing.mixed(docs, labels).columns == docs.columns and mixing.mixed(nothing, labels).count() == 0
+    # The posterior is that of naive Bayes over presence, and the classifier is right on rows outside the sample.
+    held = {x["doc_id"]: x["p"] for x in measured.where("doc_id % 2 = 1").collect()}
+    assert all((p[1] > 0.5) == (i % 4 == 0) for i, p in held.items())
+    with pytest.raises(ValueError, match="settle"):
+        short = mixing.Mixer(mixer.domains, mixer.bias, mixer.weights)
+        monkeypatch.setattr(mixing, "STEPS", 1)
+        mixing.fit_rates(measured, short, {"good": 0.5, "toxic": 0.5})
 
 
 def test_oracles_have_no_line_indent():
