@@ -4,6 +4,11 @@ Every stage reads what the stage before it kept, written as Parquet in the share
 its decisions take effect: rejected documents go, one document of each group of near-duplicates
 stays, secrets are replaced in the text, documents are left out or repeated by their rate, and
 the rest is packed into sequences. All but the last return the columns of documents.
+
+Null, empty and wordless texts fail the first stage's least number of words. Rows that repeat an
+id and text, and rows with a null id whose class has another, go in the second. Texts of any length
+are handled whole, further columns of any name stay until the last stage, empty tables give empty
+results, and without labels every rate is 1.
 """
 
 from __future__ import annotations
@@ -20,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of texts linked by five-word Jaccard of 0.8 or more."""
-    return ngram_join.keep_one(docs, ngram_join.near_duplicates(docs))
+    """One document, of the smallest id, of each group of texts linked by five-word Jaccard of 0.8 or more."""
+    return ngram_join.keep_one(docs, ngram_join.classes(docs))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +36,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates that meet the domain targets say."""
-    mixer, _ = mixing.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix(docs, mixer)
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL cannot tokenize, and the mixing stage is iterative; tests compare with brute force.
+#: SQL cannot tokenize, and the mixing stage is iterative; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
