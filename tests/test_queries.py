@@ -35,7 +35,7 @@ def test_dedup_is_smaller_and_lossless(spark, sf):
         assert r["lossless"] and r["dedup_bytes"] < 0.75 * r["json_bytes"]
 
 
-STRINGS = ["plain", "", "a b", "true", "-x", "5", "a,b", 'q"q', "back\\slash", "semi;colon", "tab\tx", "line\nx", "\u2003edge", "é", "s", "#x", "x|y", "\\n", None]
+STRINGS = ["plain", "", "a b", "true", "-x", "5", "a,b", 'q"q', "back\\slash", "semi;colon", "tab\tx", "line\nx", "\u2003edge", "é", "s", "#x", "x|y", "\\n", "nul\x00x", "\\\\\x00\\\\\\n", None]
 
 
 def test_native_strings_follow_the_kernel(spark):
@@ -86,6 +86,22 @@ def test_arrow_functions(spark):
     assert [(e["count"], e["path"]) for e in index] == [(2, "x")]
 
 
+def test_depth(spark):
+    """Deep trees are read; those beyond the limit are null where broken text may be."""
+    deep = lambda n: "\n".join(" " * i + f"k{i}:" for i in range(n)) + "\n" + " " * n + "x: 1"
+    df = spark.createDataFrame([(1, deep(700)), (2, deep(12_000)), (3, "a: 1")], "id int, t string").repartition(1)
+    out = {r["id"]: r["j"] for r in df.select("id", udfs.decode(F.col("t"), permissive=True).alias("j")).collect()}
+    assert out[1].count("{") == 701 and out[2] is None and out[3] == '{"a":1}'
+
+
+def test_names_whose_digits_agree(spark):
+    from treeloom.operators import dedup
+
+    rows = [("a", "12345678ff"), ("a", "1234567800"), ("a", "99999999aa"), ("b", "1234567811")]
+    found = dedup.distinct_names(spark.createDataFrame(rows, "base string, hash string"))
+    assert sorted(r["name"] for r in found.collect()) == ["a_1234567800", "a_12345678ff", "a_99999999", "b"]
+
+
 def test_table_function(spark):
     udfs.register(spark)
     spark.createDataFrame([(1, "a: 1\nb[2]: x, y")], "id int, t string").createOrReplaceTempView("docs")

@@ -28,12 +28,15 @@ def escape(s: Column) -> Column:
 
 
 def unescape(s: Column) -> Column:
-    """In one pass: pairs of backslashes are set aside while the others are read."""
-    held = F.replace(s, F.lit("\\\\"), F.lit("\x00"))
-    for raw, letter in lex.ESCAPES.items():
-        if raw != "\\":
-            held = F.replace(held, F.lit("\\" + letter), F.lit(raw))
-    return F.replace(held, F.lit("\x00"), F.lit("\\"))
+    """Pairs of backslashes part the string; between them the other escapes are read."""
+
+    def read(piece: Column) -> Column:
+        for raw, letter in lex.ESCAPES.items():
+            if raw != "\\":
+                piece = F.replace(piece, F.lit("\\" + letter), F.lit(raw))
+        return piece
+
+    return F.array_join(F.transform(F.split(s, r"\\\\", -1), read), "\\")
 
 
 def quote(s: Column) -> Column:

@@ -84,8 +84,8 @@ def depth_lines(text: str, indent: int | None = None) -> list[tuple[int, str]]:
 class Reader:
     """Reads one document; every call starts with an empty registry."""
 
-    def __init__(self, indent: int | None = None, definitions: dict[str, dict] | None = None):
-        self.indent, self.given = indent, definitions or {}
+    def __init__(self, indent: int | None = None, definitions: dict[str, dict] | None = None, list_references: bool = True):
+        self.indent, self.given, self.list_references = indent, definitions or {}, list_references
 
     def read(self, text: str):
         self.registry = Registry()
@@ -177,6 +177,8 @@ class Reader:
         if header and header.key is None:
             return self.array(header, line.children, line.depth)[0]
         if not header:
+            if not self.list_references and (ref := lex.read_reference(text)):
+                return {f"@{ref[0]}": ref[1]}
             if not text or lex.is_reference(text) or (text[0] in "{[" and lex.closes_at_end(text)) or ":" not in text:
                 return self.inline(text)
             if text[0] == '"' and not self.has_key(text):

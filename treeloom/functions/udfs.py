@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 
 from treeloom.functions import trees, validation
 from treeloom.functions import writer as w
-from treeloom.functions.reader import read
+from treeloom.functions.reader import Reader, read
 
 NODE = T.StructType([
     T.StructField("node_id", T.IntegerType()), T.StructField("parent_id", T.IntegerType()), T.StructField("ord", T.IntegerType()), T.StructField("depth", T.IntegerType()),
@@ -24,6 +26,10 @@ CHANGE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("p
 ENTRY = T.ArrayType(T.StructType([T.StructField("hash", T.StringType()), T.StructField("count", T.LongType()), T.StructField("path", T.StringType()), T.StructField("body", T.StringType())]))
 
 
+#: Levels that the recursive kernel goes down, in whatever process it runs.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -59,13 +65,16 @@ def encode_to(buffer: Column, json_text: Column, **options) -> Column:
     return F.concat(buffer, encode(json_text, **options))
 
 
-def decode(text: Column, indent: int | None = None, permissive: bool = False) -> Column:
-    """The notation to canonical JSON; broken text raises, or gives null if permissive."""
+def decode(text: Column, indent: int | None = None, permissive: bool = False, list_references: bool = True) -> Column:
+    """The notation to canonical JSON; text that is broken or nested too deep raises, or gives null if permissive.
+
+    Without list_references a list item "@s:x" is an object with that key, as some readers have it.
+    """
 
     def one(s: str):
         try:
-            return trees.to_json(read(s, indent))
-        except (ValueError, LookupError):
+            return trees.to_json(Reader(indent, list_references=list_references).read(s))
+        except (ValueError, LookupError, RecursionError):
             if permissive:
                 return None
             raise
@@ -120,6 +129,10 @@ def validate_against(json_text: Column, schema: str, mode: str = "warn", enforce
     return _each(RESULT, lambda s: validation.Validator(mode, enforce).against(trees.from_json(s), known))(json_text)
 
 
+def validate_schema(name: Column, schema_json: Column, mode: str = "warn", enforce: str | None = None) -> Column:
+    return _pair(RESULT, lambda n, s: validation.Validator(mode, enforce).validate_schema(n, trees.from_json(s)))(name, schema_json)
+
+
 def nodes_of_json(json_text: Column) -> Column:
     return _each(T.ArrayType(NODE), lambda s: trees.nodes(trees.from_json(s)))(json_text)
 

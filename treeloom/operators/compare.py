@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rules that one check may have.
+RULES = 10_000
+
 
 def diff_fields(old: DataFrame, new: DataFrame, key: str, path: str = "path", value: str = "value") -> DataFrame:
     """(key, path, kind, old, new) of the paths of two versions that are not the same."""
@@ -18,9 +21,12 @@ def diff_fields(old: DataFrame, new: DataFrame, key: str, path: str = "path", va
 def missing_required(docs: DataFrame, required: DataFrame, fields: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, name) of required names that a document's fields (key, name) lack.
 
-    required has one row a rule; it is a fixed list, so it is sent to every task.
+    required has one row a rule, RULES at most; it is sent to every task.
     """
-    wanted = docs.select(key).withColumn("name", F.explode(F.array(*[F.lit(r["name"]) for r in required.collect()])))
+    rules = [r["name"] for r in required.select("name").limit(RULES + 1).collect()]
+    if len(rules) > RULES:
+        raise ValueError(f"more than {RULES} rules")
+    wanted = docs.select(key).withColumn("name", F.explode(F.array(*map(F.lit, rules)).cast("array<string>")))
     return wanted.join(fields.select(key, "name"), [key, "name"], "left_anti")
 
 

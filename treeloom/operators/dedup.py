@@ -24,10 +24,13 @@ def prune(definitions: DataFrame, references: DataFrame, name: str = "name") ->
 
 
 def distinct_names(definitions: DataFrame, base: str = "base", key: str = "hash") -> DataFrame:
-    """A name per definition: its base, and eight digits of its hash where several share it."""
+    """A name per definition: its base, with eight digits of its hash where several share it, or all of them where those agree."""
+    short = F.concat(F.col(base), F.lit("_"), F.substring(key, 1, 8))
     sizes = definitions.groupBy(base).agg(F.count("*").alias("_n"))
-    named = F.when(F.col("_n") > 1, F.concat(F.col(base), F.lit("_"), F.substring(key, 1, 8))).otherwise(F.col(base))
-    return definitions.join(sizes, base).withColumn("name", named).drop("_n")
+    again = definitions.groupBy(short.alias("_short")).agg(F.count("*").alias("_m"))
+    both = definitions.withColumn("_short", short).join(sizes, base).join(again, "_short")
+    named = F.when(F.col("_n") == 1, F.col(base)).when(F.col("_m") == 1, F.col("_short")).otherwise(F.concat(F.col(base), F.lit("_"), F.col(key)))
+    return both.withColumn("name", named).drop("_n", "_m", "_short")
 
 
 def layout_match(tables: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,15 @@ def upsert(definitions: DataFrame) -> DataFrame:
 def chain(spark, definitions: DataFrame, root_type: str = "s") -> DataFrame:
     """(name, target, depth) of everything a schema reaches through its `target`; a cycle ends
     where a name comes back."""
-    definitions.createOrReplaceTempView("_definitions")
-    return spark.sql(f"""
+    view = f"_definitions_{uuid.uuid4().hex}"
+    definitions.createOrReplaceTempView(view)
+    found = spark.sql(f"""
         WITH RECURSIVE reach(name, target, depth, seen) AS (
-            SELECT name, target, 1, array(name) FROM _definitions WHERE def_type = '{root_type}' AND target IS NOT NULL
+            SELECT name, target, 1, array(name) FROM {view} WHERE def_type = '{root_type}' AND target IS NOT NULL
             UNION ALL
             SELECT r.name, d.target, r.depth + 1, concat(r.seen, array(d.name))
-            FROM reach r JOIN _definitions d ON d.name = r.target AND d.def_type = '{root_type}'
+            FROM reach r JOIN {view} d ON d.name = r.target AND d.def_type = '{root_type}'
             WHERE d.target IS NOT NULL AND NOT array_contains(r.seen, d.name)
         ) SELECT name, target, depth FROM reach""")
+    spark.catalog.dropTempView(view)  # the plan has taken it in
+    return found

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from treeloom.functions import native, udfs
 from treeloom.operators import compare, dedup, nodes, references, tabular
+from treeloom.plans import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAT_TABLES = {"nation": "n_nationkey", "region": "r_regionkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}
@@ -128,9 +129,10 @@ def parent_kinds_events(spark, sf_dir):
 
 
 def hash_tree_event_props(spark, sf_dir):
-    """Repeated objects by their content: how often, and where first."""
-    props = table(spark, sf_dir, "events")
-    return props.groupBy("props").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event")).select(F.md5("props").alias("hash"), "n", "first_event")
+    """Repeated objects by their tree hash: the md5 of the first one's text, how often, and where first."""
+    hashed = table(spark, sf_dir, "events").select("event_id", "props", udfs.tree_hash(F.col("props")).alias("h"))
+    found = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.min_by("props", "event_id").alias("props"))
+    return found.select(F.md5("props").alias("hash"), "n", "first_event")
 
 
 def dedup_dictionary_events(spark, sf_dir):
@@ -154,9 +156,11 @@ def schema_name_collision(spark, sf_dir):
 
 
 def equals_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return docs.join(first, "h").where("doc_id <> first").select("doc_id", F.col("first").alias("equal_to"))
+    """Documents whose tree equals that of a smaller id: found by hash, confirmed by equality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("text")).alias("json")).withColumn("h", udfs.tree_hash(F.col("json")))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"), F.min_by("json", "doc_id").alias("other"), F.count("*").alias("n")).where("n > 1")
+    pairs = docs.join(first, "h").where("doc_id <> first").withColumn("same", udfs.equals(F.col("json"), F.col("other")))
+    return pairs.where("same").select("doc_id", F.col("first").alias("equal_to"))
 
 
 def _fields(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -246,7 +250,11 @@ def payload_ratio_by_table(spark, sf_dir):
 
 
 def xxh3_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", udfs.tree_hash(F.to_json(F.struct("doc_id", "lang", "source"))).alias("hash"))
+    """Whole documents by their hash: the smallest id with the same one, and its digits."""
+    row = F.to_json(F.struct("text", "lang", "source"))
+    hashed = table(spark, sf_dir, "documents").select("doc_id", udfs.tree_hash(row).alias("hash"))
+    least = hashed.groupBy("hash").agg(F.min("doc_id").alias("first"))
+    return hashed.join(least, "hash").select("doc_id", "first", F.length("hash").alias("digits"))
 
 
 def dedup_ratio_events(spark, sf_dir):
@@ -265,7 +273,7 @@ def queries() -> dict[str, Query]:
         diff_customer_versions, diff_trees_customer, validate_labels_required, validate_extra_fields, enforce_openapi, resolve_refs, override_merge, polymorphic,
         reference_chain, upsert_definitions, layout_match, payload_ratio_by_table, xxh3_docs, dedup_ratio_events,
     ]
-    return {f"tab_roundtrip_{name}": tab_roundtrip(name, key) for name, key in FLAT_TABLES.items()} | {f.__name__: f for f in named}
+    return {f"tab_roundtrip_{name}": tab_roundtrip(name, key) for name, key in FLAT_TABLES.items()} | {f.__name__: f for f in named} | documents.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -274,7 +282,7 @@ def oracle_sql() -> dict[str, str]:
     minified = f"replace(replace({nation_text}, ':' || chr(10) || ' ', ':;'), chr(10) || ' ', ';')"
     pipe = _sql_string("o_orderpriority").replace(r"\[\],", r"\[\]|")
     status = _sql_string("o_orderstatus").replace(r"\[\],", r"\[\]|")
-    return {f"tab_roundtrip_{name}": f"SELECT * FROM {name}" for name in FLAT_TABLES} | {
+    return documents.oracle_sql() | {f"tab_roundtrip_{name}": f"SELECT * FROM {name}" for name in FLAT_TABLES} | {
         "tab_encode_nation_by_region": f"SELECT n_regionkey, count(*) AS n_rows, {nation_text} AS text FROM nation GROUP BY n_regionkey",
         "tab_encode_orders_by_customer": f"""SELECT o_custkey, count(*) AS n_rows, 'orders[' || count(*) || '|]{{o_orderkey|o_orderstatus|o_totalprice|o_orderpriority}}:' || chr(10) ||
             string_agg(' ' || o_orderkey || '| ' || {status} || '| ' || o_totalprice || '| ' || {pipe}, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey""",
@@ -314,6 +322,11 @@ def oracle_sql() -> dict[str, str]:
         "reference_chain": """WITH RECURSIVE d AS (SELECT n_nationkey AS k, n_nationkey // 2 AS t FROM nation WHERE n_nationkey > 0), r(name, target, depth) AS (SELECT k, t, 1 FROM d UNION ALL SELECT r.name, d.t, r.depth + 1 FROM r JOIN d ON d.k = r.target)
             SELECT name::VARCHAR AS name, target::VARCHAR AS target, depth FROM r""",
         "upsert_definitions": "SELECT 'N' || s_nationkey AS name, arg_max(s_name, s_suppkey) AS body, min(s_suppkey) AS seq FROM supplier GROUP BY s_nationkey",
+        "xxh3_docs": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang, source) AS first, 32 AS digits FROM documents",
+        "dedup_ratio_events": """WITH e AS (SELECT DISTINCT event_type AS t FROM events)
+            SELECT t AS event_type, CAST(2 + 4 + strlen(o) * 5 AS INTEGER) AS json_bytes, CAST(5 * (strlen('field0:') + strlen(p)) + 4 AS INTEGER) AS plain_bytes,
+                CAST(strlen('s:field0 {type:string, format:' || t || ', required:true}') + 1 + 5 * strlen('field0: @s:field0') + 4 AS INTEGER) AS dedup_bytes, true AS lossless
+            FROM (SELECT t, '"field0":{"type":"string","format":"' || t || '","required":true}' AS o, chr(10) || ' type: string' || chr(10) || ' format: ' || t || chr(10) || ' required: true' AS p FROM e)""",
         "layout_match": "SELECT * FROM (VALUES ('a', 'First'), ('b', 'Other'), ('c', NULL)) v(tab, schema_name)",
         "payload_ratio_by_table": f"""SELECT 'nation' AS tab, CAST(sum(strlen('{{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}}')) AS BIGINT) AS json_bytes, CAST(sum(strlen(n_nationkey || ', ' || {_sql_string('n_name')} || ', ' || n_regionkey)) AS BIGINT) AS row_bytes FROM nation
             UNION ALL SELECT 'region', CAST(sum(strlen('{{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}}')) AS BIGINT), CAST(sum(strlen(r_regionkey || ', ' || {_sql_string('r_name')})) AS BIGINT) FROM region""",
