@@ -1,32 +1,60 @@
 """The notation as a Spark data source: one document a row.
 
 ``spark.dataSource.register(TreeTextSource)``, then ``spark.read.format("treetext")``. Options:
-path; separator (a line between documents; default ---); as (text, json or nodes). Every file is
-a partition. The writer prints a column of text, a file a task, committed by moving it.
+path, a local one or a URI that pyarrow can reach from every executor; separator (a line between
+documents; default ---); as (text or json); column to write (default text). Every file is a
+partition, read document by document. A write task prints a file under a name that readers skip;
+the commit moves all into place, after it has removed what an overwrite replaces.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SEPARATOR = "---"
+#: Bytes read at a time.
+CHUNK = 1 << 20
 
 
-def split_documents(text: str, separator: str = SEPARATOR) -> list[str]:
-    out, part = [], []
-    for line in text.split("\n"):
+def documents(lines, separator: str = SEPARATOR) -> Iterator[str]:
+    """Documents of a stream of lines without their ends; what follows the last separator only if it says something."""
+    part: list[str] = []
+    for line in lines:
         if line.rstrip("\r") == separator:
-            out.append("\n".join(part))
+            yield "\n".join(part)
             part = []
         else:
             part.append(line)
-    last = "\n".join(part)
-    return [*out, last] if last.strip() else out
+    if any(line.strip() for line in part):
+        yield "\n".join(part)
+
+
+def split_documents(text: str, separator: str = SEPARATOR) -> list[str]:
+    return list(documents(text.split("\n"), separator))
+
+
+def _lines(stream) -> Iterator[str]:
+    held = b""
+    while chunk := stream.read(CHUNK):
+        *whole, held = (held + chunk).split(b"\n")
+        for line in whole:
+            yield line.decode("utf-8")
+    yield held.decode("utf-8")
+
+
+def _store(path: str):
+    """The file system of a path or URI, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
 
 
 @dataclass
@@ -46,7 +74,10 @@ class TreeTextSource(DataSource):
         return "treetext"
 
     def schema(self) -> str:
-        return "path string, seq int, text string" if self.options.get("as", "text") == "text" else "path string, seq int, json string"
+        kind = self.options.get("as", "text")
+        if kind not in ("text", "json"):
+            raise ValueError("as is text or json")
+        return f"path string, seq int, {kind} string"
 
     def reader(self, schema):
         return _Reader(dict(self.options))
@@ -60,42 +91,55 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        path = self.options["path"].removeprefix("file://")
-        files = sorted(f for f in glob.glob(f"{path}/**/*", recursive=True) if os.path.isfile(f) and not os.path.basename(f).startswith(("_", "."))) if os.path.isdir(path) else [path]
-        return [FilePart(f) for f in files]
+        from pyarrow import fs
+
+        store, root = _store(self.options["path"])
+        if store.get_file_info(root).type == fs.FileType.File:
+            return [FilePart(root)]
+        found = store.get_file_info(fs.FileSelector(root, recursive=True))
+        return [FilePart(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and not _name(f.path).startswith(("_", "."))]
 
     def read(self, partition):
         from treeloom.functions import trees
         from treeloom.functions.reader import read
 
-        with open(partition.path, encoding="utf-8", newline="") as f:
-            for seq, text in enumerate(split_documents(f.read(), self.options.get("separator", SEPARATOR))):
-                yield partition.path, seq, text if self.options.get("as", "text") == "text" else trees.to_json(read(text))
+        store, _ = _store(self.options["path"])
+        plain = self.options.get("as", "text") == "text"
+        with store.open_input_stream(partition.path) as stream:
+            for seq, text in enumerate(documents(_lines(stream), self.options.get("separator", SEPARATOR))):
+                yield partition.path, seq, text if plain else trees.to_json(read(text))
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.folder, self.separator = options["path"].removeprefix("file://"), options.get("separator", SEPARATOR)
+        self.path, self.separator, self.overwrite = options["path"], options.get("separator", SEPARATOR), overwrite
         self.column = options.get("column", "text")
-        if overwrite and os.path.isdir(self.folder):
-            for f in glob.glob(f"{self.folder}/part-*"):
-                os.remove(f)
 
     def write(self, rows):
-        os.makedirs(self.folder, exist_ok=True)
+        store, root = _store(self.path)
+        store.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.txt"
-        temporary = f"{self.folder}/_{name}"
-        with open(temporary, "w", encoding="utf-8", newline="") as f:
+        temporary = f"{root}/_{name}"
+        with store.open_output_stream(temporary) as out:
             for row in rows:
-                f.write((row[self.column] or "") + f"\n{self.separator}\n")
-        return Written(temporary, f"{self.folder}/{name}")
+                out.write(((row[self.column] or "") + f"\n{self.separator}\n").encode())
+        return Written(temporary, f"{root}/{name}")
 
     def commit(self, messages):
-        for m in messages:
-            if m:
-                os.replace(m.temporary, m.final)
+        from pyarrow import fs
+
+        store, root = _store(self.path)
+        if self.overwrite:
+            for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if _name(f.path).startswith("part-"):
+                    store.delete_file(f.path)
+        for m in filter(None, messages):
+            store.move(m.temporary, m.final)
 
     def abort(self, messages):
-        for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+        from pyarrow import fs
+
+        store, _ = _store(self.path)
+        for m in filter(None, messages):
+            if store.get_file_info(m.temporary).type == fs.FileType.File:
+                store.delete_file(m.temporary)
