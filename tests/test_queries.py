@@ -124,7 +124,7 @@ def test_data_source(spark, tmp_path):
     back = spark.read.format("treetext").option("as", "json").load(str(tmp_path / "out"))
     assert [r["json"] for r in back.orderBy("seq").collect()] == ['{"a":1}', '{"b":{"c":"x"}}']
     assert spark.read.format("treetext").load(str(tmp_path / "out")).count() == 2
-    new = spark.createDataFrame([(f"n: {i}\ns: é",) for i in range(50)], "text string").repartition(3)
+    new = spark.createDataFrame([(f"n: {i}\nt: é",) for i in range(50)], "text string").repartition(3)
     new.write.format("treetext").mode("overwrite").option("separator", "===").save(f"file://{tmp_path}/out")
     again = spark.read.format("treetext").option("separator", "===").option("as", "json").load(f"file://{tmp_path}/out")
     assert sorted(r["json"] for r in again.collect()) == sorted(f'{{"n":{i},"t":"é"}}' for i in range(50))
