@@ -69,5 +69,54 @@ def repeats() -> str:
     SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256 FROM h LEFT JOIN k ON k.doc_id = h.doc_id"""
 
 
+def _spans(kind: str, rank: int, pattern: str, valid: str) -> str:
+    """Spans of a pattern's matches that are valid, from the lengths of matches and of what lies between them."""
+    quoted = pattern.replace("'", "''")
+    hits, pieces = f"regexp_extract_all(t, '{quoted}')", f"regexp_split_to_array(t, '{quoted}')"
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, e - length(hit) AS s, e FROM
+        (SELECT doc_id, hit, sum(length(piece) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM
+            (SELECT doc_id, unnest({hits}) AS hit, unnest(list_slice({pieces}, 1, len({hits}))) AS piece, generate_subscripts({hits}, 1) AS i FROM d)) WHERE {valid}"""
+
+
+def _base_spans(kinds: list[tuple[str, str, str]], order: str) -> str:
+    every = " UNION ALL ".join(_spans(kind, rank, pattern, valid) for rank, (kind, pattern, valid) in enumerate(kinds))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind, _, _ in kinds)
+    zeros = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, _, _ in kinds)
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS ({every}),
+        g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY {order}) AS joined FROM x GROUP BY doc_id)
+    SELECT d.doc_id, {zeros}, sha256(coalesce(joined, '')) AS base_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+def secrets_base() -> str:
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    group = assign.replace("'", "''")
+    kinds = [("assign", assign, f"length(regexp_extract(hit, '{group}', 1)) >= 6"), ("access", "AKIA[A-Z0-9]+", "length(hit) >= 20"), ("hex", "[0-9a-f]+", "length(hit) >= 24")]
+    return _base_spans(kinds, "s, rank")
+
+
+def pii_base() -> str:
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    digit = f"TRY_CAST(substr(reverse({digits}), i, 1) AS INTEGER)"
+    luhn = f"list_sum([CASE WHEN i % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END for i in range(1, length({digits}) + 1)]) % 10 = 0"
+    octets = "len([x for x in string_split(hit, '.') if length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255]) = 0"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", octets),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND {luhn}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
+    ]
+    return _base_spans(kinds, "rank, s")
+
+
+def quality_ablation() -> str:
+    policy = quality.POLICIES[quality.DEFAULT_POLICY]
+    rules = ", ".join(f"('{name}', {1 << i})" for i, (name, _) in enumerate(quality.RULES) if name in policy)
+    mask = quality.rule_mask(policy)
+    return f"""
+    WITH q AS ({quality_rules()}), p AS (SELECT rule_bits & {mask} AS bits, rule, bit FROM q, (VALUES {rules}) r(rule, bit))
+    SELECT rule, count(*) FILTER (WHERE bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE bits = bit) AS n_failed_alone, count(*) FILTER (WHERE bits = 0 OR bits = bit) AS n_kept_without FROM p GROUP BY rule"""
+
+
 def squeezed(sql: str) -> str:
     return re.sub(r"\s*\n\s*", "\n", sql).strip()

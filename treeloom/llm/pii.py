@@ -250,3 +250,11 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii", lambda x: x["kind"].isin(*KINDS))
     return found.select("doc_id", *[of(k) for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+
+
+def pii_base(spark, sf_dir: str) -> DataFrame:
+    """What the fixed patterns find, by the same expressions, without the trees."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.withColumn("pii", F.expr(base_spans("text")))
+    of = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[of(k) for k in KINDS], F.sha2(_joined(F.col("pii")), 256).alias("base_sha256"))

@@ -176,3 +176,8 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
         passes(m["bits"]).alias("kept"),
         m["bits"].alias("rule_bits"),
     )
+
+
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy rejects, alone and with others, over all documents."""
+    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -15,6 +15,10 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_suffix_array_dedup": substrings.op9_suffix_array_dedup,
         "op10_pii": pii.op10_pii,
+        # Parts of the operators above that SQL can express, where it cannot express the whole.
+        "secrets_base": secrets.secrets_base,
+        "quality_ablation": quality.quality_ablation,
+        "pii_base": pii.pii_base,
     }
 
 
@@ -25,4 +29,7 @@ def oracle_sql() -> dict:
         "op6_embedding_neardup": oracles.squeezed(oracles.embedding_neardup()),
         "op8_quality_rules": oracles.squeezed(oracles.quality_rules()),
         "op9_suffix_array_dedup": oracles.squeezed(oracles.repeats()),
+        "secrets_base": oracles.squeezed(oracles.secrets_base()),
+        "quality_ablation": oracles.squeezed(oracles.quality_ablation()),
+        "pii_base": oracles.squeezed(oracles.pii_base()),
     }

@@ -195,3 +195,11 @@ def op7_secret_scans(spark, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda x: x["kind"].isin(*BASE_KINDS))
     return found.select("doc_id", *[of(k) for k in BASE_KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
+
+
+def secrets_base(spark, sf_dir: str) -> DataFrame:
+    """What the fixed patterns find, by the same scan, without a learned dictionary."""
+    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), identifiers=IDENTIFIERS)
+    of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda x: x["kind"].isin(*BASE_KINDS))
+    return found.select("doc_id", *[of(k) for k in BASE_KINDS], F.sha2(_joined(base), 256).alias("base_sha256"))
