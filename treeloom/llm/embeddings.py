@@ -209,6 +209,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     each = nodes.select("k1", "k2", "node", "copies").join(component, "node", "left").join(counts, "node", "left")
     links_of = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     info = scratch.save(each.select("k1", "k2", links_of, F.coalesce("component", "node").alias("component_id")), "info")
+    scratch.keep(info)
     # A node can hold a large share of the rows, so both sides of the last join are plain tables.
     keyed = rows.select("vec_id", F.when(usable, F.xxhash64("e")).alias("k1"), F.when(usable, F.xxhash64(F.lit(seed), "e")).alias("k2"))
     return (

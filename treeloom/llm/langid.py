@@ -117,7 +117,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
-def _sample(docs: DataFrame, rows: int) -> DataFrame | None:
+def _sample(docs: DataFrame, rows: int, store: scratch.Scratch) -> DataFrame | None:
     """(lang, draw, text): a bounded sample of the labelled rows; the same for the same table."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
@@ -128,12 +128,13 @@ def _sample(docs: DataFrame, rows: int) -> DataFrame | None:
     # A language with n rows is drawn at a rate that gives `each` on average; a tenth more, then cut.
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.1 * each / n))]), F.col("lang"))
     drawn = labelled.where(draw < share).select("lang", draw.alias("draw"), "text").orderBy("draw", "lang", "text").limit(rows)
-    return scratch.Scratch(docs.sparkSession, "langid").save(drawn, "sample")
+    return store.save(drawn, "sample")
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
     """Learn from doc_id, text and lang of the rows outside the held-out fold."""
-    sample = _sample(docs, rows)
+    store = scratch.Scratch(docs.sparkSession, "langid")
+    sample = _sample(docs, rows, store)
     if sample is None:
         return Model([], Landmarks([]), np.zeros((0, 0)))
     context = docs.sparkSession.sparkContext
@@ -163,6 +164,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(shared.value.kernel(b.column(2).to_pylist())), pa.list_(pa.float64()))], names=["lang", "draw", "kernel"])
 
     rows_ = sample.mapInArrow(kernels, "lang string, draw double, kernel array<double>").orderBy("lang", "draw", "kernel").collect()
+    store.keep()
     return solve(languages, [(r["lang"], np.array(r["kernel"])) for r in rows_ if r["lang"] in languages], marks)
 
 

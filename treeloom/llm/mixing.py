@@ -164,6 +164,7 @@ def fit_rates(measured: DataFrame, mixer: Mixer, targets: dict[str, float], grow
             break
     else:
         raise ValueError(f"the rates did not settle in {STEPS} steps")
+    scratch.keep()
     return {"have": have.tolist(), "want": want.tolist(), "reached": reached.tolist()}
 
 

@@ -216,6 +216,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = TAR
     known = nodes.select("node", "rep", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = scratch.save(known.groupBy("component").agg(F.min("rep").alias("class_id")), "classes")
     info = scratch.save(known.join(classes.hint("merge"), "component").join(counts, "node", "left").select("node", "component", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "info")
+    scratch.keep(signed, info)
     # A node can hold a large share of the rows, so both sides of the last join are plain tables.
     out = signed.select("doc_id", "content", "node").join(info.hint("merge"), "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "content", "component")
@@ -240,6 +241,7 @@ def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: st
     best = scratch.save(members.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best"), "best")
     judged = members.join(best.hint("merge"), "component").groupBy("doc_id", "content").agg(F.max(F.col("best") == order).alias("stays"), F.count("*").alias("n"))
     marks = scratch.save(judged.where("NOT stays OR n > 1"), "marks")
+    scratch.keep(marks)
     inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("_content"))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_content") == F.col("content"))
     single = inside.join(marks.select("doc_id", "content"), same, "left_anti")

@@ -35,6 +35,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._saved: list[DataFrame] = []
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -51,6 +52,7 @@ class Scratch:
             self.spark.conf.set(CLEAN_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self._saved.append(out)
         return out
 
     def drop(self, df: DataFrame) -> None:
@@ -60,6 +62,14 @@ class Scratch:
             delete(self.spark, path)
 
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all tables of this run but those that a result still reads."""
+        for df in self._saved:
+            if not any(df is f for f in frames):
+                self.drop(df)
+        self._saved = list(frames)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
