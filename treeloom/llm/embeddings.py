@@ -39,7 +39,7 @@ LEAF = 512
 #: Vectors of a leaf that are compared without further splits.
 LEAF_MOST = 8192
 SPILLS = (0.06, 0.12, 0.2)
-SAMPLE = 65_536
+SAMPLE = 32_768
 #: Sampled vectors with made-up partners, partners of each, neighbours they lie towards, parts by density.
 PROBES, PARTNERS, NEAR, GROUPS = 1024, 16, 64, 16
 #: Trees of each spill that the choice is made by; products of two vectors that cost as much as moving one.
