@@ -141,3 +141,25 @@ def test_stream(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("decoded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert sorted(r["json"] for r in spark.table("decoded").collect()) == ['{"a":1}', '{"b":{"c":2}}']
+
+
+def test_parents_without_a_broadcast(spark, tmp_path):
+    """Nodes are not sent to the driver, whatever their guessed size; events with one id or none count each."""
+    events = [(1, '{"k": 1}'), (1, '{"k": 2}'), (2, '{"k": 3}'), (None, '{"k": 4}')]
+    spark.createDataFrame(events, "event_id long, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = catalogue.parent_kinds_events(spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [("object", "int", 4)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parents_in_the_document_and_by_join(spark):
+    docs = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":null}]},"[0]":"x"}'), (2, "[[],5]"), (3, "7"), (4, None)], "doc_id int, j string")
+    joined = nodes.children(nodes.explode_nodes(docs, "j", from_json=True))
+    direct = nodes.explode_children(docs, "j", from_json=True)
+    assert set(direct.columns) == set(joined.columns)
+    columns = sorted(direct.columns)
+    assert sorted(map(str, direct.select(columns).collect())) == sorted(map(str, joined.select(columns).collect()))
+    found = {(r["doc_id"], r["path"]): (r["parent_kind"], r["parent_path"]) for r in direct.collect()}
+    assert found[1, "a.b.[1].c"] == ("object", "a.b.[1]") and found[1, "a.b.[1]"] == ("array", "a.b") and found[1, "[0]"] == ("object", "") and len(found) == 8
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert direct.count() == 8

@@ -38,10 +38,25 @@ def as_f64() -> Column:
     return F.when(F.col("kind") == "float", F.col("v_float")).when(F.col("kind") == "int", F.col("v_int").cast("double"))
 
 
+def explode_children(docs: DataFrame, text: str = "text", from_json: bool = False) -> DataFrame:
+    """explode_nodes' rows below the root, with their parents' kind and path, looked up in the document itself:
+    no join, so documents may share a key or have none."""
+    read = udfs.nodes_of_json if from_json else udfs.nodes_of_text
+    keep = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    read_once = docs.select(*keep, read(F.col(text)).alias("_t"))
+    up = lambda n: F.get(F.col("_t"), n["parent_id"])  # noqa: E731  a node's id is its place in its document
+    both = F.transform("_t", lambda n: F.struct(n.alias("n"), up(n)["kind"].alias("parent_kind"), up(n)["path"].alias("parent_path")))
+    found = read_once.select(*keep, F.explode(both).alias("_c")).select(*keep, "_c.n.*", "_c.parent_kind", "_c.parent_path")
+    return found.where("parent_id is not null")
+
+
 def children(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every node with its parent's kind and path."""
+    """Every node with its parent's kind and path, of a table of nodes whose documents have a key each.
+
+    Sizes of nodes are guessed too small by far, so neither side may be sent to the driver.
+    """
     up = nodes.select(F.col(key), F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"), F.col("path").alias("parent_path"))
-    return nodes.join(up, [key, "parent_id"])
+    return nodes.join(up.hint("merge"), [key, "parent_id"])
 
 
 def uniform_arrays(nodes: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -124,8 +124,8 @@ def uniform_arrays_orders(spark, sf_dir):
 
 
 def parent_kinds_events(spark, sf_dir):
-    n = nodes.explode_nodes(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "props"), "props", from_json=True)
-    return nodes.children(n).groupBy("parent_kind", "kind").agg(F.count("*").alias("n"))
+    n = nodes.explode_children(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "props"), "props", from_json=True)
+    return n.groupBy("parent_kind", "kind").agg(F.count("*").alias("n"))
 
 
 def hash_tree_event_props(spark, sf_dir):
