@@ -163,3 +163,37 @@ def test_parents_in_the_document_and_by_join(spark):
     assert found[1, "a.b.[1].c"] == ("object", "a.b.[1]") and found[1, "a.b.[1]"] == ("array", "a.b") and found[1, "[0]"] == ("object", "") and len(found) == 8
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert direct.count() == 8
+
+
+def test_uniform_arrays_without_a_join(spark, tmp_path):
+    """No side of nodes is sent to the driver; orders without a customer or a status are found as the SQL has them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    orders = {"o_orderkey": [1, 2, 3, 4, 5], "o_custkey": [7, 7, None, None, 8], "o_orderstatus": ["O", None, "F", "P", None]}
+    pq.write_table(pa.table(orders, pa.schema([("o_orderkey", pa.int64()), ("o_custkey", pa.int64()), ("o_orderstatus", pa.string())])), tmp_path / "orders.parquet")
+    found = catalogue.uniform_arrays_orders(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    agree(found, SQL["uniform_arrays_orders"], str(tmp_path))
+
+
+def test_uniform_arrays_follow_the_trees(spark):
+    texts = [
+        '{"a":[{"x":1,"y":null},{"y":"s","x":2.5}],"b":[{"x":1},{"z":1}],"c":[{"x":[1]}],"d":[{"x":1},{}],"e":[{"x":1},5],"f":[],"g":[{}]}',
+        '[{"k":true},{"k":false},{"k":null}]', '{"o":{"p":[[{"q":1}],[{"q":1,"r":2},{"q":1}]],"[0]":{"x":1}}}', '{"t":[{"u":[{"v":1},{"v":2}]}]}', '{"x":1}', "7", "[]", None,
+        '{"big":[' + ",".join(f'{{"i":{i},"j":"{i}"}}' for i in range(1000)) + "]}",
+    ]
+    texts = texts * 70  # more than what is read at a time
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, j string").coalesce(1)
+
+    def tables(tree, path=()):
+        if isinstance(tree, list) and tree and all(isinstance(v, dict) and v and v.keys() == tree[0].keys() and not any(isinstance(x, (dict, list)) for x in v.values()) for v in tree):
+            yield ".".join(path), len(tree), sorted(tree[0])
+        for name, v in tree.items() if isinstance(tree, dict) else ((f"[{i}]", v) for i, v in enumerate(tree)) if isinstance(tree, list) else ():
+            yield from tables(v, (*path, name))
+
+    want = [(i, *t) for i, s in enumerate(texts) if s is not None for t in tables(trees.from_json(s))]
+    got = nodes.uniform_arrays(nodes.explode_nodes(docs, "j", from_json=True))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 70 * 5
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema.fields] == [("doc_id", "int"), ("path", "string"), ("n_rows", "int"), ("fields", "array<string>")]

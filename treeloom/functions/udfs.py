@@ -36,11 +36,16 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+#: Rows of a batch that are Python objects at a time: a tree's nodes take many times the room of its text.
+ROWS = 256
+
+
 def _each(kind: T.DataType, f):
     """An Arrow function that maps rows; null stays null."""
 
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else f(v) for v in values.to_pylist()], _arrow_type(kind))
+        made = _arrow_type(kind)
+        return pa.concat_arrays([pa.array([None if v is None else f(v) for v in values.slice(i, ROWS).to_pylist()], made) for i in range(0, max(1, len(values)), ROWS)])
 
     return F.arrow_udf(run, kind)
 

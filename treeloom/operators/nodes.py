@@ -60,10 +60,19 @@ def children(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def uniform_arrays(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Arrays whose items are objects with one set of keys and primitive values: their tables."""
-    objects = nodes.where("kind = 'object' and n_children > 0").select(key, F.col("node_id").alias("item"), F.col("parent_id").alias("array_id"))
-    fields = nodes.where("key is not null").select(key, F.col("parent_id").alias("item"), "key", is_primitive(F.col("kind")).alias("flat"))
-    rows = objects.join(fields, [key, "item"]).groupBy(key, "array_id", "item").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.bool_and("flat").alias("flat"))
-    arrays = nodes.where("kind = 'array'").select(key, F.col("node_id").alias("array_id"), "path", "n_children")
-    found = arrays.join(rows, [key, "array_id"]).groupBy(key, "array_id", "path", "n_children").agg(F.count("*").alias("n"), F.min("keys").alias("low"), F.max("keys").alias("high"), F.bool_and("flat").alias("flat"))
-    return found.where("n = n_children and low = high and flat").select(key, "path", F.col("n_children").alias("n_rows"), F.col("low").alias("fields"))
+    """Arrays whose items are objects with one set of keys and primitive values: their tables.
+
+    By two aggregations, of fields to objects and of objects to arrays, without a join; documents have a key each.
+    """
+    kind, is_object = F.col("kind"), F.col("kind") == "object"
+    own = F.struct("kind", "parent_id", F.when(~is_object, F.col("path")).alias("path"), "n_children")
+    of = lambda at, own, field, flat: F.struct(at.alias("id"), own.alias("own"), field.alias("field"), flat.alias("flat"))
+    as_itself = F.when((kind == "array") | is_object & (F.col("n_children") > 0), of(F.col("node_id"), own, F.lit(None).cast("string"), F.lit(None).cast("boolean")))
+    as_field = F.when(F.col("key").isNotNull(), of(F.col("parent_id"), F.when(F.lit(False), own), F.col("key"), is_primitive(kind)))
+    parts = nodes.select(key, F.explode(F.array(as_itself, as_field)).alias("_p")).where("_p is not null").select(key, "_p.*")
+    read = parts.groupBy(key, "id").agg(F.max("own").alias("own"), F.array_sort(F.collect_set("field")).alias("keys"), F.bool_and("flat").alias("flat")).select(key, "id", "own.*", "keys", "flat")
+    members = read.where("kind = 'array' or kind = 'object' and parent_id is not null and size(keys) > 0")
+    array = F.when(~is_object, F.struct("path", "n_children"))
+    keys = F.when(is_object, F.col("keys"))
+    found = members.groupBy(key, F.when(is_object, F.col("parent_id")).otherwise(F.col("id")).alias("array_id")).agg(F.max(array).alias("_a"), F.count(keys).alias("n"), F.min(keys).alias("low"), F.max(keys).alias("high"), F.bool_and("flat").alias("flat"))
+    return found.where("n = _a.n_children and low = high and flat").select(key, "_a.path", F.col("_a.n_children").alias("n_rows"), F.col("low").alias("fields"))

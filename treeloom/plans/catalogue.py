@@ -118,7 +118,7 @@ def node_count_by_kind(spark, sf_dir):
 
 def uniform_arrays_orders(spark, sf_dir):
     """Orders as a list of objects under each customer: found again as tables of nodes."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.to_json(F.struct(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("orders"))).alias("json"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.to_json(F.struct(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("orders")), {"ignoreNullFields": "false"}).alias("json"))
     found = nodes.uniform_arrays(nodes.explode_nodes(o, "json", from_json=True))
     return found.select("doc_id", "path", F.col("n_rows").cast("long").alias("n_rows"), F.array_join("fields", "|").alias("fields"))
 
